@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
 from .common import read_table
+from .decontaminate import ORACLE as DECONTAMINATION_SQL
+from .decontaminate import decontaminate
+from .quality import classify
 
 VOCABULARY = os.environ.get("LOXIS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 
@@ -17,9 +20,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe,)}
+    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": DECONTAMINATION_SQL}
