@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import pack, staged, unpack, width
 
 BLOCK_BYTES = 16 << 20
-BLOCKS = "block string, bucket int, words binary, docs binary"
-SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.binary())])
+BLOCKS = "block string, bucket int, words binary, docs binary, more binary"
+SCHEMA = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("more", pa.binary())])
 
 
 def planes(codes: np.ndarray) -> bytes:
@@ -42,20 +42,26 @@ def _rows(block: str, docs: dict, table: dict, codes: list, parts: int, extra: C
     new[rank] = np.arange(len(words), dtype=np.uint32)
     flat, words = new[flat], [words[i] for i in rank]
     bucket = np.fromiter((zlib.crc32(w if isinstance(w, bytes) else w.encode()) % parts for w in words), np.uint32, len(words))
-    more, own = extra(words, flat, docs, parts) if extra else (None, {})
+    of_words, of_bucket = extra(words, flat, docs, parts) if extra else (None, None)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(parts + 1))
-    out: list[tuple] = [(block, -1, None, pack(docs | own | {"codes": planes(flat), "bucket": bucket.astype(np.uint16 if parts < 1 << 16 else np.uint32)}))]
+    out: list[tuple] = [(block, -1, None, pack(docs | {"codes": planes(flat), "bucket": bucket.astype(np.uint16 if parts < 1 << 16 else np.uint32)}), None)]
     for b in range(parts):
         mine = order[ends[b] : ends[b + 1]]
-        row = {"words": [words[i] for i in mine]} | (more(b, mine) if more else {})
-        if len(mine) or more:
-            out.append((block, b, pack(row), None))
+        row = {"words": [words[i] for i in mine]} | (of_words(mine) if of_words else {})
+        if len(mine):
+            out.append((block, b, pack(row), None, None))
+        if of_bucket and (more := of_bucket(b)):
+            out.append((block, b, None, None, more))
     yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r)) for r in out], SCHEMA)
 
 
 def make_blocks(docs: DataFrame, columns: list[str], split: Callable, label: str, extra: Callable | None = None) -> DataFrame:
-    """Stage the blocks of docs. split: text -> its words. columns: kept with each document. extra: see _rows."""
+    """Stage the blocks of docs. split: text -> its words. columns: kept with each document.
+
+    extra: (words, codes, kept columns, buckets) -> what to add to the packed words at some places, and the
+    bytes of a further row of a bucket.
+    """
     parts = width(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +92,9 @@ def make_blocks(docs: DataFrame, columns: list[str], split: Callable, label: str
     return staged(docs.select(*columns, "text").mapInArrow(run, BLOCKS), label)
 
 
-def answer(blocks: DataFrame, reply: Callable, schema: str) -> DataFrame:
-    """reply: rows of one bucket, as (block, packed words), -> rows of schema, which begins with block and bucket."""
-    names = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}[x.split()[1]]) for x in schema.split(", ")])
+def answer(blocks: DataFrame, reply: Callable, column: str = "words") -> DataFrame:
+    """reply: a bucket and its rows, as (block, what is in column), -> rows of block, bucket and answer."""
+    names = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("answer", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
@@ -97,7 +103,7 @@ def answer(blocks: DataFrame, reply: Callable, schema: str) -> DataFrame:
 
         bucket, rows = None, []
         for batch in batches:
-            for b, block, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "words"))):
+            for b, block, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", column))):
                 if b != bucket and rows:
                     yield from flush()
                     rows = []
@@ -106,8 +112,9 @@ def answer(blocks: DataFrame, reply: Callable, schema: str) -> DataFrame:
         if rows:
             yield from flush()
 
-    dealt = blocks.where("bucket >= 0").select("bucket", "block", "words").repartition(width(blocks.sparkSession), "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(run, schema)
+    dealt = blocks.where("bucket >= 0").where(F.col(column).isNotNull()).select("bucket", "block", column)
+    dealt = dealt.repartition(width(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block string, bucket int, answer binary")
 
 
 def meet(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:

@@ -150,7 +150,7 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFram
             first = last
 
     blocks = make_blocks(docs, ["doc_id"], split, "bpe")
-    answers = answer(blocks, reply, "block string, bucket int, answer binary")
+    answers = answer(blocks, reply)
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return meet(blocks, answers, finish, kinds)
 

@@ -11,7 +11,9 @@ from .bpe import encode
 from .common import read_table
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import decontaminate
+from .lm import lm_scores
 from .quality import classify
+from .simhash import near_duplicates
 
 VOCABULARY = os.environ.get("LOXIS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 
@@ -28,8 +30,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination)}
+    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op9_lm_score, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
