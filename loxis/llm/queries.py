@@ -11,6 +11,8 @@ from .bpe import encode
 from .common import read_table
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import decontaminate
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
+from .line_dedup import line_dedup
 from .lm import lm_scores
 from .quality import classify
 from .simhash import near_duplicates
@@ -30,6 +32,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
@@ -39,8 +45,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op9_lm_score, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op8_line_dedup, op9_lm_score, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": DECONTAMINATION_SQL}
+    return {"op4_decontamination": DECONTAMINATION_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
