@@ -15,6 +15,7 @@ from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
 from .lm import lm_scores
 from .quality import classify
+from .sharding import shard
 from .simhash import near_duplicates
 
 VOCABULARY = os.environ.get("LOXIS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
@@ -32,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op8_line_dedup, op9_lm_score, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op5_sharding, op8_line_dedup, op9_lm_score, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
