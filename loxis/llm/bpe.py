@@ -46,13 +46,16 @@ def _splitter(path: str):
     tok = _tokenizer(path)
     words = regex.compile(PATTERN).findall
     # Letters and digits that are newer than the tokenizer's own tables: texts with them are split by the tokenizer itself.
-    newer = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if unicodedata.category(c) == "Cn")
-    odd = regex.compile(f"[{newer}]").search if newer else lambda text: None
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    newer = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    odd = np.zeros(0x110000, bool)
+    odd[newer] = True
+    least = min(newer, default=0x110000)
     added = [t.content for t in tok.get_added_tokens_decoder().values()]
     special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def plain(text: str) -> list[str]:
-        if not text.isascii() and odd(text):
+        if not text.isascii() and (points := np.frombuffer(text.encode("utf-32-le"), "<u4")).max() >= least and odd[points].any():
             return [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)]
         return words(text)
 
