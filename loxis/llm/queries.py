@@ -12,6 +12,7 @@ from .common import read_table
 from .decontaminate import ORACLE as DECONTAMINATION_SQL
 from .decontaminate import decontaminate
 from .digest import edited_pairs
+from .licenses import scan
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
 from .lm import lm_scores
@@ -38,6 +39,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_pairs(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op5_sharding, op7_fingerprint, op8_line_dedup, op9_lm_score, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op5_sharding, op6_license_scan, op7_fingerprint, op8_line_dedup, op9_lm_score, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
