@@ -16,6 +16,7 @@ from .licenses import scan
 from .line_dedup import ORACLE as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
 from .lm import lm_scores
+from .pii import find_pii
 from .quality import classify
 from .sharding import shard
 from .simhash import near_duplicates
@@ -27,6 +28,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -60,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_quality, op4_decontamination, op5_sharding, op6_license_scan, op7_fingerprint, op8_line_dedup, op9_lm_score, op10_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_quality, op4_decontamination, op5_sharding, op6_license_scan, op7_fingerprint, op8_line_dedup, op9_lm_score, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
