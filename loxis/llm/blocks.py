@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, staged, unpack, width
+from .common import bucketed, pack, unpack, width
 
 BLOCK_BYTES = 16 << 20
 BLOCKS = "block string, bucket int, words binary, docs binary, more binary"
@@ -89,7 +89,7 @@ def make_blocks(docs: DataFrame, columns: list[str], split: Callable, label: str
         if kept["n_words"]:
             yield from _rows(f"{part}-{next(serial)}", kept, table, codes, parts, extra)
 
-    return staged(docs.select(*columns, "text").mapInArrow(run, BLOCKS), label)
+    return bucketed(docs.select(*columns, "text").mapInArrow(run, BLOCKS), label, "block")
 
 
 def answer(blocks: DataFrame, reply: Callable, column: str = "words") -> DataFrame:
@@ -120,18 +120,13 @@ def answer(blocks: DataFrame, reply: Callable, column: str = "words") -> DataFra
 def meet(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """finish: (documents of a block, its words' answers from bucket to packed bytes) -> record batches of schema."""
 
-    def run(group: pa.Table) -> pa.Table:
-        docs, got = None, {}
-        for bucket, data in zip(group.column("bucket").to_pylist(), group.column("data").to_pylist()):
-            if bucket < 0:
-                docs = unpack(data)
-            else:
-                got[bucket] = data
+    def run(kept: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = unpack(kept.column("docs")[0].as_py())
         docs["codes"] = from_planes(docs["codes"])
-        return pa.Table.from_batches(list(finish(docs, got)))
+        return pa.Table.from_batches(list(finish(docs, dict(zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist())))))
 
-    kept = blocks.where("bucket < 0").select("block", "bucket", F.col("docs").alias("data"))
-    return kept.unionByName(answers.select("block", "bucket", F.col("answer").alias("data"))).groupBy("block").applyInArrow(run, schema)
+    kept = blocks.where("bucket < 0").select("block", "docs").groupBy("block")
+    return kept.cogroup(answers.select("block", "bucket", "answer").groupBy("block")).applyInArrow(run, schema)
 
 
 def in_code_order(bucket: np.ndarray, values: np.ndarray) -> np.ndarray:
