@@ -22,7 +22,7 @@ def _small(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (u, v) of longs -> (node, root): each node that has a link, and the least node that it reaches.
+    """links (u, v) of longs -> (node, root): the least node that each node reaches; that one itself has no row.
 
     Each round is written to the shared folder, so the plan does not grow; the loop ends when the set of
     edges, which is then a star about each root, stays as it was.

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, width
@@ -110,9 +110,9 @@ def _linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         us.append(f[:-d][hit])
         vs.append(f[d:][hit])
     for a, n in zip(begin[size > SHORT], size[size > SHORT]):
-        if found := np.array(_forest(fp[a : a + n]), np.uint64):
-            us.append(found[:, 0])
-            vs.append(found[:, 1])
+        found = np.array(_forest(fp[a : a + n]), np.uint64).reshape(-1, 2)
+        us.append(found[:, 0])
+        vs.append(found[:, 1])
     return np.concatenate(us), np.concatenate(vs)
 
 
@@ -141,7 +141,8 @@ def links(distinct: DataFrame) -> DataFrame:
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held)))
 
-    dealt = distinct.select("fp", F.explode(variants(F.col("fp"))).alias("key")).repartition(width(distinct.sparkSession), "key")
+    parts = width(distinct.sparkSession)
+    dealt = distinct.select("fp").repartition(parts, "fp").select("fp", F.explode(variants(F.col("fp"))).alias("key")).repartition(parts, "key")
     return dealt.sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
@@ -154,3 +155,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     own = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return table.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that have the least id of their component.
+
+    Of rows with the same id one stays, the one of least text; rows of null id all stay.
+    """
+    chosen = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    own = docs.join(chosen, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    one = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
+    return one.unionByName(docs.where("doc_id is null"))
