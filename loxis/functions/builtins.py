@@ -46,7 +46,7 @@ SCALAR: dict[str, tuple[str, Callable[..., Column]]] = {
     "string.trim": ("string", lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")),
     "string.replaceAll": ("string", lambda s, a, b: F.replace(s, a, b)),
     "string.regexpReplaceAll": ("string", lambda s, p, r: F.regexp_replace(s, p, r)),
-    "string.regexpCapture": ("string", lambda s, p, g: _when(F.rlike(s, _whole(p)), F.element_at(F.array(*(F.regexp_extract(s, p, k) for k in range(10))), (g + 1).cast("int")) if not isinstance(p, str) else s)),
+    "string.regexpCapture": ("string", lambda s, p, g: _when(F.rlike(s, _whole(p)), F.call_function("regexp_extract", s, p, g.cast("int")))),
     "string.splitAtIndex": ("string", lambda s, d, i: F.get(F.split(s, _quoted(d), -1), i.cast("int"))),
     "string.prefix": ("string", lambda s, n: _when((n >= 0) & (n <= F.length(s)), F.substring(s, F.lit(1), n.cast("int")))),
     "string.suffix": ("string", lambda s, n: _when((n >= 0) & (n <= F.length(s)), F.substring(s, (n + 1).cast("int"), F.length(s)))),
@@ -79,7 +79,10 @@ SCALAR: dict[str, tuple[str, Callable[..., Column]]] = {
     "boolean.booleanOr": ("boolean", lambda x, y: x | y),
     "boolean.booleanXor": ("boolean", lambda x, y: x != y),
     "toUrl": ("string", lambda p, a, b, c, d: F.concat_ws(":", F.concat(F.lit("file://"), p), *(x.cast("string") for x in (a, b, c, d)))),
-    "identity": ("same", lambda x: x),
+    "underlyingElement": ("same", lambda x: x),
+    "mkElement": ("same", lambda x: x),
+    "unresolveElement": ("same", lambda x: x),
+    "newtypeId": ("long", lambda *xs: F.xxhash64(*xs)),
 }
 #: Tests: true or false.
 TESTS: dict[str, Callable[..., Column]] = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.database import Database
 from .compile import Compiler, col, unioned
-from .ir import And, Atom, Program, Rule, Var, atoms, rewrite
+from .ir import And, Atom, Program, Rule, Var, alternatives, atoms, rewrite
 from .stratify import Stratum, stratify
 
 DELTA = "Δ"
@@ -78,6 +78,7 @@ class Engine:
 
     def _fixpoint(self, stratum: Stratum, base: dict[str, DataFrame]) -> None:
         inside = set(stratum.preds)
+        stratum = Stratum(stratum.preds, [w for r in stratum.rules for w in alternatives(r)], True)
         recursive = {p: [r for r in stratum.rules if r.pred == p and any(a.pred in inside for a, _ in atoms(r.body))] for p in stratum.preds}
         start = {p: [r for r in stratum.rules if r.pred == p and r not in recursive[p]] for p in stratum.preds}
         first = {p: [self.compiler.rule(r) for r in start[p]] + ([base[p]] if p in base else []) for p in stratum.preds}
