@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.database import Database
@@ -70,11 +70,10 @@ class Engine:
         return f"{self._folder.rstrip('/')}/round-{uuid.uuid4().hex}"
 
     def _written(self, df: DataFrame) -> tuple[str, DataFrame, int]:
-        """A round is written, and counted from the footers of its files."""
-        path = self._path()
-        df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        return path, back, back.count()
+        """A round is one job: its rows are counted as they are written."""
+        path, seen = self._path(), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def _fixpoint(self, stratum: Stratum, base: dict[str, DataFrame]) -> None:
         inside = set(stratum.preds)
@@ -100,6 +99,10 @@ class Engine:
                     self.derived[p] = self.spark.createDataFrame([], ", ".join(f"c{i} void" for i in range(len(recursive[p][0].args))))
                     schemas[p] = self.derived[p].schema
                 waiting = []
+        # What the rounds read and do not change is written once, not derived again in each.
+        for p in {a.pred for p in stratum.preds for r in recursive[p] for a, _ in atoms(r.body)} - inside:
+            if p in self.derived:
+                self.derived[p] = self._written(self.derived[p])[1]
         doubled = self._doubled(stratum, recursive, start)
         files: dict[str, list[str]] = {p: [] for p in stratum.preds}
         delta: dict[str, DataFrame] = {}
