@@ -36,6 +36,26 @@ def _index_of(s: Column, t: Column) -> Column:
     return F.when(m <= n, F.filter(F.sequence(F.lit(0), (n - m).cast("int")), lambda i: F.substring(s, i + 1, m) == t)).otherwise(F.array().cast("array<int>"))
 
 
+def found_at(s: Column, p: Column) -> Column:
+    """Matches of p in s with their number and offset, as an array of (v, n, at)."""
+    kind = "array<struct<v:string,n:bigint,at:bigint>>"
+    both = F.array(F.struct(F.regexp_extract_all(s, p, F.lit(0)).alias("m"), F.split(s, p, -1).alias("g")))
+
+    def step(x: Column):
+        def one(acc: Column, i: Column) -> Column:
+            at, v = acc["at"] + F.length(F.get(x["g"], i)), F.get(x["m"], i)
+            item = F.struct(v.alias("v"), i.cast("bigint").alias("n"), at.cast("bigint").alias("at"))
+            return F.struct((at + F.length(v)).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+        return one
+
+    def every(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        return F.when(F.size(x["m"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), start, step(x))["out"]).otherwise(F.array().cast(kind))
+
+    return F.element_at(F.transform(both, every), 1)
+
+
 #: name -> (result type, function of Columns); the receiver's type is part of the name.
 SCALAR: dict[str, tuple[str, Callable[..., Column]]] = {
     "string.length": ("long", lambda s: F.length(s).cast("long")),

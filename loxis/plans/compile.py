@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.builtins import MULTI, SCALAR, TESTS, int_div
+from ..functions.builtins import MULTI, SCALAR, TESTS, found_at, int_div
 from ..sources.database import Database
 from .ir import (
     Aggregate,
@@ -120,8 +120,7 @@ class Compiler:
             if op in ("=", "!="):
                 return F.lit(op == "!=")
             raise LogicError(f"no comparison of {s} and {t}")
-        held = {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-        return F.coalesce(held, F.lit(False))
+        return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
     # Which variables a formula needs and binds
 
@@ -172,6 +171,12 @@ class Compiler:
                 if not set().union(*map(expr_vars, values)) <= bound:
                     return None
                 return self._binds(v, bound)
+            case Multi("regexpFindAt", (s, p, *places), result):
+                if not expr_vars(s) | expr_vars(p) <= bound:
+                    return None
+                for x in (*places, result):
+                    bound = bound if bound is None else self._binds(x, bound)
+                return bound
             case Multi(name, args, result):
                 if not set().union(*map(expr_vars, args)) <= bound:
                     return None
@@ -222,7 +227,7 @@ class Compiler:
                 if not new:
                     r = 0 if isinstance(f, (Compare, Range, OneOf, Multi)) else 2
                 elif isinstance(f, (Compare, OneOf, Multi, Range)):
-                    r = 1
+                    r = 1 if shared else 7  # a constant joins nothing: better a filter on what binds the variable too
                 elif isinstance(f, Aggregate):
                     r = 4 if free_vars(f.body) - set(f.local) <= bound else 6
                 else:
@@ -265,7 +270,7 @@ class Compiler:
                 return reduce(lambda x, y: x & y if both else x | y, parts, F.lit(both))
             case Not(body):
                 inner = self.condition(body, types)
-                return None if inner is None else ~inner
+                return None if inner is None else ~F.coalesce(inner, F.lit(False))
             case If(c, t, e):
                 return self.condition(Or((And((c, t)), And((Not(c), e)))), types)
             case Range(v, a, b) if free_vars(f) <= types.keys():
@@ -281,7 +286,7 @@ class Compiler:
         found = self._named(name, [t for _, t in own], TESTS)
         if found is None:
             raise LogicError(f"no test {name}")
-        return F.coalesce(TESTS[found](*(c for c, _ in own)), F.lit(False))
+        return TESTS[found](*(c for c, _ in own))
 
     def run(self, f: Formula, b: Bindings, live: frozenset[str]) -> Bindings:
         """Bindings that satisfy f; live are the variables that are still needed."""
@@ -309,6 +314,18 @@ class Compiler:
                 return self._range(v, low, high, b)
             case OneOf(v, values):
                 return self._spread(b, v, F.array(*(self.scalar(x, b.types())[0] for x in values)), self.scalar(values[0], b.types())[1])
+            case Multi("regexpFindAt", (s, p, *places), result):
+                types = b.types()
+                out = Bindings(self._frame(b).select("*", F.explode(found_at(self.scalar(s, types)[0], self.scalar(p, types)[0])).alias("__found")), b.names)
+                for x, part, kind in ((result, "v", "string"), (places[0], "n", "long"), (places[1], "at", "long")):
+                    value = F.col("__found")[part]
+                    if isinstance(x, Var) and x.name == "_":
+                        continue
+                    if isinstance(x, Var) and x.name not in out.names:
+                        out = self._bind(out, x.name, value)
+                    else:
+                        out = self._filtered(out, self.comparison("=", (value, kind), self.scalar(x, out.types())))
+                return Bindings(out.df.drop("__found"), out.names)
             case Multi(name, args, result):
                 own = [self.scalar(a, b.types()) for a in args]
                 found = self._named(name, [t for _, t in own], MULTI)
@@ -383,6 +400,18 @@ class Compiler:
         if found is None:
             return Bindings(self._frame(b).where(F.lit(False)).select("*", *(F.lit(None).alias(n) for n in names if n not in b.names)), b.names | set(names))
         rel, later = found
+        # An argument that is computed from bound variables is a column to join on.
+        known = [(name, e) for name, e in later if b.df is not None and expr_vars(e) <= b.names]
+        if known:
+            types = b.types()
+            b = Bindings(b.df.select("*", *(self.scalar(e, types)[0].alias(name) for name, e in known)), b.names | {name for name, _ in known})
+            names += [name for name, _ in known]
+            later = [x for x in later if x not in known]
+            out = self._atom_joined(rel, later, names, b, live)
+            return Bindings(out.df.drop(*(name for name, _ in known)), out.names - {name for name, _ in known})
+        return self._atom_joined(rel, later, names, b, live)
+
+    def _atom_joined(self, rel: DataFrame, later: list, names: list[str], b: Bindings, live: frozenset[str]) -> Bindings:
         shared = [n for n in names if n in b.names]
         new = [n for n in names if n not in b.names]
         own = set(new) & live
@@ -427,6 +456,7 @@ class Compiler:
         flat: list[Formula] = []
         for x in items:
             flat += x.items if isinstance(x, And) else [x]
+        flat = self._substituted(flat, b, live)
         todo = self.order(flat, b.names, live | b.names)
         for k, f in enumerate(todo):
             later = live.union(*map(free_vars, todo[k + 1 :])) if todo[k + 1 :] else live
@@ -435,6 +465,26 @@ class Compiler:
                 b = Bindings(b.df.drop(*gone), b.names - set(gone)) if len(gone) < len(b.names) or later else b
         return b
 
+    @staticmethod
+    def _substituted(items: list[Formula], b: Bindings, live: frozenset[str]) -> list[Formula]:
+        """`v = c` and `v = w` put into the other parts, so that they are filters and join keys there."""
+        done: list[Formula] = []
+        todo = [x for f in items for x in (f.items if isinstance(f, And) else [f])]
+        while todo:
+            f = todo.pop(0)
+            if isinstance(f, Compare) and f.op == "=":
+                for v, e in ((f.left, f.right), (f.right, f.left)):
+                    if isinstance(v, Var) and v.name not in b.names and isinstance(e, (Var, Const)) and v != e and "_" not in (v.name, getattr(e, "name", "")):
+                        done, todo = ([renamed(x, {v.name: e}) for x in part] for part in (done, todo))
+                        if v.name in live:
+                            done.append(f)
+                        break
+                else:
+                    done.append(f)
+                continue
+            done.append(f)
+        return done
+
     def _or(self, items: tuple, b: Bindings, live: frozenset[str]) -> Bindings:
         if not items:
             return Bindings(self._frame(b).where(F.lit(False)), b.names)
@@ -597,13 +647,14 @@ def unioned(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def renamed(f: Formula, names: dict[str, str]) -> Formula:
-    """f with free variables renamed."""
+def renamed(f: Formula, names: dict) -> Formula:
+    """f with free variables renamed, or replaced by what is equal to them."""
 
     def e(x):
         match x:
             case Var(n):
-                return Var(names.get(n, n))
+                to = names.get(n, n)
+                return Var(to) if isinstance(to, str) else to
             case BinOp(op, a, b):
                 return BinOp(op, e(a), e(b))
             case Call(n, args):

@@ -118,6 +118,11 @@ QL = {
     "offsets": ('from int i where i = "banana".indexOf("an") select i', [(1,), (3,)]),
     "split": ('from string s where s = "a.b.c".splitAt(".") select s', [("a",), ("b",), ("c",)]),
     "split at": ('select "a.b.c".splitAt(".", 2) as s', [("c",)]),
+    "matches with places": ('from string s, int i, int o where s = "a1b22".regexpFind("[0-9]+", i, o) select s, i, o', [("1", 0, 1), ("22", 1, 3)]),
+    "one match": ('select "a1b22".regexpFind("[0-9]+", 1, _) as s', [("22",)]),
+    "constants of columns": ("predicate p(int x, int k) { val(x) and k = 3 } from int x, int k where p(x, k) and x = 10 and k = 3 select x, k", [(10, 3)]),
+    "equal variables": ("from int a, int b, int c where edge(a, b) and b = c and edge(c, _) select a, c", [(1, 2), (2, 3)]),
+    "null is not true under negation": ("from int x where val(x) and not 10 / (x - 10) > 0 select x", [(1,), (5,), (10,)]),
     "capture": ('select "key=val".regexpCapture("(.*)=(.*)", 2) as s', [("val",)]),
     "no match": ('select "key".regexpCapture("(.*)=(.*)", 2) as s', []),
     "prefix beyond": ('select "ab".prefix(3) as s', []),
