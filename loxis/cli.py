@@ -19,7 +19,7 @@ from .plans.engine import Engine
 from .plans.ir import LogicError
 from .session import query_all_ql
 from .sinks import results
-from .sources import extract_python  # noqa: F401  registers the language
+from .sources import extract_c, extract_python  # noqa: F401  register their languages
 from .sources.database import Database
 from .sources.extract import extract
 
@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("loxis").getOrCreate()
     try:
         if args.command == "create":
-            db = extract(spark, args.source, args.into, root=str(Path(args.source).resolve()), languages=args.language)
+            db = extract(spark, args.source, args.into, root=str(Path(args.source).resolve()), languages=args.language or ("python",))
             db.save(args.into)
             print(f"{len(db.names())} relations in {args.into}")
             return 0

@@ -90,13 +90,14 @@ def language_of(path: str) -> str | None:
     return next((lang for lang, ends in EXTENSIONS.items() if path.endswith(ends)), None)
 
 
-def extract(spark: SparkSession, paths: str | list[str], into: str, root: str = "", languages: list[str] | None = None) -> Database:
+def extract(spark: SparkSession, paths: str | list[str], into: str, root: str = "", languages: tuple[str, ...] | list[str] = ("python",)) -> Database:
     """Extract all files under some paths into a database in the folder `into`.
 
     Files are read by Spark, in parallel and from any store; a file that doesn't parse gives its place and line
-    counts only. Languages without an extractor give the same.
+    counts only, and so do files of languages that are not named or have no extractor. Languages that name
+    tables alike go to databases of their own.
     """
-    known = {k: EXTRACTORS[k][2] for k in EXTRACTORS}
+    known = {k: EXTRACTORS[k][2] for k in languages if k in EXTRACTORS}
     prefix = root.rstrip("/") + "/" if root else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def extract(spark: SparkSession, paths: str | list[str], into: str, root: str =
                 name = re.sub(r"^\w+:/*(?=/)", "", path)
                 name = name.removeprefix(prefix)
                 language = language_of(name)
-                if language is None or (languages and language not in languages):
+                if language is None:
                     continue
                 text = content.decode("utf-8", "replace")
                 facts = list(place_facts(name, text, language))
@@ -122,7 +123,7 @@ def extract(spark: SparkSession, paths: str | list[str], into: str, root: str =
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
     files.mapInArrow(run, "relation string, cells array<string>").write.mode("overwrite").partitionBy("relation").parquet(f"{into}/facts")
-    text = COMMON + "".join(s for _, s, _ in EXTRACTORS.values())
+    text = COMMON + "".join(EXTRACTORS[k][1] for k in known)
     return split_facts(spark, spark.read.parquet(f"{into}/facts"), parse_dbscheme(text))
 
 

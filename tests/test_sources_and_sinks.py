@@ -8,7 +8,7 @@ from loxis import analyses
 from loxis.operators import relational
 from loxis.session import query_ql
 from loxis.sinks import results
-from loxis.sources import extract_python  # noqa: F401  registers the language
+from loxis.sources import extract_c, extract_python  # noqa: F401  register their languages
 from loxis.sources.database import Database
 from loxis.sources.extract import count_lines, extract, source_roots
 from loxis.sources.models import AccessPath, AccessPathError, ModelError, Step, add_models, parse_access_path, parse_models
@@ -205,3 +205,48 @@ def test_relational(spark):
     assert rows(relational.difference(a, a.where("k = 2"))) == [(1, "x")] and rows(relational.union(a, a)) == rows(a) and rows(relational.intersection(a, a.where("k = 1"))) == [(1, "x")]
     assert rows(relational.semi_join(a, b, ["k"])) == [(2, "y"), (2, "z")] and rows(relational.anti_join(a, b, ["k"])) == [(1, "x")] and rows(relational.count_rows(a)) == [(3,)]
     assert relational.rename(a, {"s": "t"}).columns == ["k", "t"] and rows(relational.select(a, a.k > 1)) == [(2, "y"), (2, "z")]
+
+
+C_SOURCE = """#include <stdio.h>
+/* a comment */
+typedef struct node { int value; struct node *next; } node_t;
+enum color { RED, GREEN = 5 };
+static int limit = 10;
+int inc(int x) { return x + 1; }
+int mul2(int x) { return x * 2; }
+int run(int (*f)(int), int v) { return f(v); }
+void unused_param(int a, int b) { if (a > 0 && a != 3) { a++; } else while (a) a -= 1; }
+int main(void) {
+    int (*fp)(int) = inc;
+    int (*gp)(int);
+    node_t *n = 0, m;
+    gp = fp;
+    if (limit) fp = mul2;
+    for (int i = 0; i < 3; i++) { printf("%d\\n", gp(i)); }
+    int c = (int) m.value + n->value;
+    switch (c) { case 1: break; default: c = c ? 1 : 2; }
+    do { c--; } while (c > 0);
+    return run(fp, c) + run(&inc, 2);
+}
+int broken(( ;
+int after(void) { gets(0); return 0; }
+"""
+
+
+def test_c_facts(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.c").write_text(C_SOURCE)
+    db = extract(spark, str(tmp_path / "src"), str(tmp_path / "out"), root=str(tmp_path / "src"), languages=["c"])
+    get = lambda name, *c: sorted(tuple(r[i] for i in c) for r in db.relation(name).collect())
+    assert get("functions", 1) == [("after",), ("inc",), ("main",), ("mul2",), ("run",), ("unused_param",)]
+    assert get("localvariables", 1) == [("c",), ("fp",), ("gp",), ("i",), ("m",), ("n",)] and get("globalvariables", 1, 2) == [("limit", "int")]
+    assert get("fields", 1, 2) == [(0, "value"), (1, "next")] and get("enumconstants", 2, 3) == [(0, "RED"), (1, "GREEN")] and get("includes", 2) == [("stdio.h",)]
+    assert get("params", 1, 2, 3) == [(0, "a", "int"), (0, "f", "int (*)()"), (0, "x", "int"), (0, "x", "int"), (1, "b", "int"), (1, "v", "int")]
+    kinds = [k for (k,) in get("stmts", 1)]
+    assert all(kinds.count(k) == n for k, n in ((2, 2), (3, 1), (6, 5), (8, 1), (9, 1), (10, 2), (11, 1), (28, 1)))
+    assert len(get("iscall", 0)) == 6 and len(get("if_else", 0)) == 1 and len(get("comments", 1)) == 1
+    assert rows(analyses.analyse(db, analyses.UNUSED_PARAMETERS, "unused")) == [("unused_param", "b")]
+    assert set(rows(analyses.analyse(db, analyses.CALL_GRAPH, "calls"))) == {("after", "gets"), ("main", "gp"), ("main", "printf"), ("main", "run"), ("run", "f")}
+    points = set(rows(analyses.analyse(db, analyses.POINTS_TO, "points")))
+    assert {("main", "fp", "inc"), ("main", "fp", "mul2"), ("main", "gp", "inc"), ("main", "gp", "mul2"), ("run", "f", "inc"), ("run", "f", "mul2")} <= points
+    assert rows(query_ql(db, analyses.DANGEROUS)) == [("gets", "after")]
