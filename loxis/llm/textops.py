@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]`, once lower-cased, and of `[^\x20\x09-\x0D]`.
