@@ -250,3 +250,50 @@ def test_c_facts(spark, tmp_path):
     points = set(rows(analyses.analyse(db, analyses.POINTS_TO, "points")))
     assert {("main", "fp", "inc"), ("main", "fp", "mul2"), ("main", "gp", "inc"), ("main", "gp", "mul2"), ("run", "f", "inc"), ("run", "f", "mul2")} <= points
     assert rows(query_ql(db, analyses.DANGEROUS)) == [("gets", "after")]
+
+
+def small_class(name="p/Dog", above="p/Animal", interface="p/Printable"):
+    """A class file by hand: a field `int age`, a constructor and `String bark(int, long[])`."""
+    import struct
+
+    pool, texts = [], {}
+
+    def text(t):
+        if t not in texts:
+            raw = t.encode()
+            pool.append(b"\x01" + struct.pack(">H", len(raw)) + raw)
+            texts[t] = len(pool)
+        return texts[t]
+
+    def klass(t):
+        k = text(t)
+        pool.append(b"\x07" + struct.pack(">H", k))
+        return len(pool)
+
+    own, up, face = klass(name), klass(above), klass(interface)
+    member = lambda flags, n, d: struct.pack(">HHHH", flags, text(n), text(d), 0)
+    fields = [member(0x0002, "age", "I")]
+    methods = [member(0x0001, "<init>", "()V"), member(0x0009, "bark", "(I[J)Ljava/lang/String;"), member(0x1000, "hidden", "()V")]
+    head = struct.pack(">IHH", 0xCAFEBABE, 0, 65) + struct.pack(">H", len(pool) + 1) + b"".join(pool)
+    return head + struct.pack(">HHHHH", 0x0021, own, up, 1, face) + struct.pack(">H", 1) + b"".join(fields) + struct.pack(">H", 3) + b"".join(methods) + struct.pack(">H", 0)
+
+
+def test_class_files(spark, tmp_path):
+    import zipfile
+
+    from loxis.sources.extract_classes import ClassFile, ClassFileError, extract_classes, types_of
+
+    assert types_of("(I[[Ljava/util/Map$Entry;J)V") == ["int", "java.util.Map.Entry[][]", "long", "void"]
+    with pytest.raises(ClassFileError):
+        ClassFile(small_class()[:40])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/Dog.class").write_bytes(small_class())
+    (tmp_path / "in/Bad.class").write_bytes(b"nothing")
+    with zipfile.ZipFile(tmp_path / "in/more.jar", "w") as z:
+        z.writestr("p/Puppy.class", small_class("p/Puppy", "p/Dog"))
+    db = extract_classes(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    get = lambda name, *c: sorted(tuple(r[i] for i in c) for r in db.relation(name).collect())
+    assert get("classes_or_interfaces", 1) == [("Dog",), ("Puppy",)] and get("packages", 1) == [("p",)]
+    assert get("methods", 1, 2, 3) == [("bark", "(int, long[])", "java.lang.String")] * 2 and get("fields", 1, 2) == [("age", "int")] * 2 and get("constrs", 1) == [("Dog",), ("Puppy",)]
+    program = 'class C extends @classorinterface { C() { classes_or_interfaces(this, _, _, _) } string name() { classes_or_interfaces(this, result, _, _) } C up() { extendsReftype(this, result) } predicate isStatic(string m) { exists(int x, int k | methods(x, m, _, _, this, _) and hasModifier(x, k) and modifiers(k, "static")) } } from C c, string m where c.isStatic(m) select c.up().name(), c.name(), m'
+    assert rows(query_ql(db, program)) == [("Dog", "Puppy", "bark")]
