@@ -228,20 +228,53 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
-    model = model or Model.fit(docs.sparkSession)
+def _found(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with `__n0` to `__n3`, `__base` and `__all`: numbers of base spans, base spans, and all spans."""
     kind = "array<struct<s:int,k:int,e:int>>"
     spans = lambda x, k: F.transform(x, lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), (m["s"] + F.char_length(m["v"])).alias("e")))
-    text = F.col("text")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.rlike(F.coalesce(text, F.lit("")), F.lit(ANY)), text).alias("text"))
-    found = own.select("doc_id", "text", *(F.filter(located(text, p, 0), _base_rule(k)).alias(f"base{k}") for k, p in enumerate(BASE)), *(located(text, p, 1).alias(f"more{k}") for k, p in enumerate(GENERATORS)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.when(F.rlike(F.coalesce("text", F.lit("")), F.lit(ANY)), F.col("text"))
+    own = docs.select("*", text.alias("__text"))
+    found = own.select(*kept, *(F.filter(located(F.col("__text"), p, 0), _base_rule(k)).alias(f"__base{k}") for k, p in enumerate(BASE)), *(located(F.col("__text"), p, 1).alias(f"__more{k}") for k, p in enumerate(GENERATORS)))
     marked = []
     for k in range(len(KINDS)):
-        one = F.transform(F.col(f"more{k}"), lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), (m["s"] + F.char_length(m["v"])).alias("e"), mask(features(F.lit(k), m["v"], m["l"], m["r"])).alias("mask")))
+        one = F.transform(F.col(f"__more{k}"), lambda m: F.struct(m["s"].alias("s"), F.lit(k).alias("k"), (m["s"] + F.char_length(m["v"])).alias("e"), mask(features(F.lit(k), m["v"], m["l"], m["r"])).alias("mask")))
         scored = F.transform(one, lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e"), model.score(m["mask"]).alias("score")))
         marked.append(F.filter(scored, lambda m: m["score"] >= F.lit(float(min(model.thresholds[k], 1e300)))))
     empty = F.array().cast(kind)
-    joined = found.select("doc_id", *(F.size(f"base{k}").alias(f"n{k}") for k in range(len(KINDS))), F.concat(*(spans(F.col(f"base{k}"), k).cast(kind) for k in range(len(KINDS)))).alias("base"), F.concat(*marked).alias("more"))
-    out = joined.select("doc_id", *(F.greatest(F.coalesce(f"n{k}", F.lit(0)), F.lit(0)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)), F.coalesce("base", empty).alias("base"), F.when(F.size("more") > 0, _selected(F.col("base"), F.col("more"))).otherwise(F.coalesce("base", empty)).alias("all"))
-    return out.select("doc_id", *(f"n_{name}" for name in KINDS), F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"), _told(F.col("all")).alias("spans"))
+    joined = found.select(*kept, *(F.size(f"__base{k}").alias(f"__n{k}") for k in range(len(KINDS))), F.concat(*(spans(F.col(f"__base{k}"), k).cast(kind) for k in range(len(KINDS)))).alias("__base"), F.concat(*marked).alias("__more"))
+    number = lambda k: F.greatest(F.coalesce(f"__n{k}", F.lit(0)), F.lit(0)).cast("long").alias(f"__n{k}")
+    every = F.when(F.size("__more") > 0, _selected(F.col("__base"), F.col("__more"))).otherwise(F.coalesce("__base", empty))
+    return joined.select(*kept, *map(number, range(len(KINDS))), F.coalesce("__base", empty).alias("__base"), every.alias("__all"))
+
+
+def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
+    out = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model or Model.fit(docs.sparkSession))
+    return out.select("doc_id", *(F.col(f"__n{k}").alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(_told(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _told(F.col("__all")).alias("spans"))
+
+
+def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs, with all their columns, with each span replaced by its kind in brackets; n_chars, if there is one, follows.
+
+    Where spans overlap, what is left of the later one is part of the same replacement.
+    """
+    found = _found(docs, model or Model.fit(docs.sparkSession))
+    names, text = F.array(*(F.lit(f"[{name.upper()}]") for name in KINDS)), F.coalesce("text", F.lit(""))
+    bound = F.array(F.struct(text.alias("t"), F.array_sort("__all").alias("a")))
+
+    def step(x: Column):
+        def one(acc: Column, c: Column) -> Column:
+            before = F.concat(acc["out"], F.substring(x["t"], acc["at"] + 1, c["s"] - acc["at"]), F.get(names, c["k"]))
+            return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), F.when(c["s"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
+
+        return one
+
+    def done(x: Column) -> Column:
+        end = F.aggregate(x["a"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step(x))
+        return F.transform(F.array(end), lambda e: F.concat(e["out"], F.substring(x["t"], e["at"] + 1, F.char_length(x["t"]))))[0]
+
+    new = F.when(F.size("__all") > 0, F.element_at(F.transform(bound, done), 1)).otherwise(F.col("text"))
+    out = found.withColumn("__new", new)
+    made = {"text": F.col("__new")} | ({"n_chars": F.char_length(F.coalesce("__new", F.lit(""))).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns))

@@ -119,30 +119,47 @@ def near_equal(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int
     return out + [(s, k + alone, n) for s, k, n in best]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null)."""
-    spark = docs.sparkSession
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with the size, checksum and hash of their texts."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("same"))
-    rows = staged(rows, "sizes")
-    cell = F.pmod(F.xxhash64("same"), F.lit(width(spark))).cast("int")
-    groups = staged(rows.groupBy("same").agg(F.sum("size").alias("bytes")).withColumn("cell", cell), "groups")
+    made = {"__size": (F.octet_length(text) + ROW_BYTES).cast("long"), "__crc": F.crc32(text.cast("binary")), "__same": F.unhex(F.sha2(text.cast("binary"), 256))}
+    return docs.withColumns(made)
+
+
+def placed(rows: DataFrame, shards: int) -> DataFrame:
+    """rows (__same, __size) -> __same and __shard of each distinct text."""
+    spark = rows.sparkSession
+    cell = F.pmod(F.xxhash64("__same"), F.lit(width(spark))).cast("int")
+    groups = staged(rows.groupBy("__same").agg(F.sum("__size").alias("bytes")).withColumn("cell", cell), "groups")
     cells = groups.groupBy("bytes", "cell").agg(F.count("*").alias("n"))
     found = near_equal([(r.bytes, r.n) for r in cells.groupBy("bytes").agg(F.sum("n").alias("n")).collect()], shards)
     # Ranks from 0 among the groups of a size: within a cell by their own order, after the cells before.
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bytes").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("same")) - 1)
-    ranked = ranked.join(cells.select("bytes", "cell", before.alias("before")), ["bytes", "cell"]).select("same", "bytes", (F.col("rank") + F.col("before")).alias("rank"))
+    ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("__same")) - 1)
+    ranked = ranked.join(cells.select("bytes", "cell", before.alias("before")), ["bytes", "cell"]).select("__same", "bytes", (F.col("rank") + F.col("before")).alias("rank"))
     intervals, at = [], {}
     for size, k, n in found:
         intervals.append((size, k, at.get(size, 0), at.get(size, 0) + n))
         at[size] = at.get(size, 0) + n
-    dealt = spark.createDataFrame(intervals, "bytes long, shard int, low long, high long")
-    placed = ranked.join(dealt, "bytes").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("same", "shard")
-    out = staged(rows.join(placed, "same").withColumn("part", F.pmod(F.xxhash64("doc_id", "same"), F.lit(width(spark))).cast("int")), "placed")
+    dealt = spark.createDataFrame(intervals, "bytes long, __shard int, low long, high long")
+    return ranked.join(dealt, "bytes").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("__same", "__shard")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null)."""
+    spark = docs.sparkSession
+    rows = staged(_measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "sizes")
+    out = staged(rows.join(placed(rows, shards), "__same").withColumn("part", F.pmod(F.xxhash64("doc_id", "__same"), F.lit(width(spark))).cast("int")), "placed")
     # Slots the same way: by parts of a shard, so that no task sorts a whole one.
-    parts = out.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    skip = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = out.withColumn("own", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "same")) - 1)
-    slots = slots.join(parts.select("shard", "part", skip.alias("skip")), ["shard", "part"])
-    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("own") + F.col("skip")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    parts = out.groupBy("__shard", "part").agg(F.count("*").alias("n"))
+    skip = F.coalesce(F.sum("n").over(Window.partitionBy("__shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = out.withColumn("own", F.row_number().over(Window.partitionBy("__shard", "part").orderBy("doc_id", "__same")) - 1)
+    slots = slots.join(parts.select("__shard", "part", skip.alias("skip")), ["__shard", "part"])
+    return slots.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), (F.col("own") + F.col("skip")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS) -> None:
+    """Write docs, with all their columns, to a folder `__shard=k` for each shard."""
+    rows = _measured(docs)
+    where = placed(staged(rows.select("__same", "__size"), "sizes"), shards)
+    rows.join(where, "__same").drop("__same", "__size", "__crc").write.mode("overwrite").partitionBy("__shard").parquet(folder)

@@ -91,6 +91,15 @@ def test_pii(spark, corpus, pii_model):
     assert pii.find_pii(corpus.empty, pii_model).collect() == []
 
 
+def test_redaction(spark, corpus, pii_model):
+    texts = [(1, "é mail a.b@c.de now", 20), (2, None, 0), (3, "+1 4111 1111 1111 1111 and 10.0.0.1", 9), (4, "nothing here 12", 15)]
+    out = {r.doc_id: (r.text, r.n_chars) for r in pii.redacted(spark.createDataFrame(texts, "doc_id long, text string, n_chars int"), pii_model).collect()}
+    assert out[1] == ("é mail [EMAIL] now", 18) and out[2] == (None, 0) and out[4] == ("nothing here 12", 15)
+    assert "4111" not in out[3][0] and out[3][0].endswith(" and [IP]")
+    kept = pii.redacted(corpus.frame, pii_model)
+    assert kept.columns == corpus.frame.columns and kept.count() == len(corpus.rows)
+
+
 def test_pii_model_on_held_out_examples(spark, pii_model):
     rows = pii.examples(spark).where("fold = 1").withColumn("score", pii_model.score(pii.F.col("mask"))).collect()
     right = sum(r.n for r in rows if (r.score >= pii_model.thresholds[r.kind]) == bool(r.label))
@@ -189,6 +198,14 @@ def test_sharding(corpus):
     assert sharding.shard(corpus.empty, 7).collect() == []
 
 
+def test_written_shards(spark, corpus, tmp_path):
+    sharding.write_shards(corpus.frame, str(tmp_path / "shards"), 5)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert set(back.columns) == {*corpus.frame.columns, "__shard"} and ordered((r.doc_id, r.text) for r in back.collect()) == ordered(corpus.rows)
+    total = [r["sum(length)"] for r in back.selectExpr("__shard", "octet_length(coalesce(text, '')) + 16 AS length").groupBy("__shard").sum("length").collect()]
+    assert len(total) == 5 and max(total) - min(total) < 200
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(2)
     for _ in range(20):
