@@ -10,8 +10,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import analyses
 from .session import query_datalog, query_ql
+from .sources import extract_c, extract_python  # noqa: F401  register their languages
 from .sources.database import Database
+from .sources.extract import facts_of, scheme_of, split_facts
+from .sources.models import add_models, parse_models
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 #: Tables with a key, whose rows are distinct.
@@ -50,6 +54,7 @@ class Query:
     sql: str | None
     output: str = "q"
     columns: tuple = ()
+    setup: Callable[[SparkSession, str], Database] | None = None
 
 
 def d(text: str, sql: str | None, *columns: str) -> Query:
@@ -135,6 +140,79 @@ QUERIES: dict[str, Query] = {
 }
 
 
+# Queries over relations that are not the driver's tables: facts of sources, models, a schema with entity types.
+
+C_SOURCE = """
+int baz(int x) { return x; }
+int bar(int x, int spare) { return baz(x); }
+int foo(int n) { int y = n; int z; z = y; return bar(z, 1) + baz(2); }
+int main(void) { int (*fp)(int) = foo; char buf[8]; gets(buf); fp(3); return foo(1) + bar(2, 3); }
+"""
+PYTHON_SOURCE = """
+import os
+class Dog(Animal):
+    def bark(self, times=2):
+        return os.path.join("a", times)
+def main():
+    return Dog().bark(3)
+"""
+MODELS = """
+extensions:
+  - addsTo: {pack: p, extensible: summaryModel}
+    data:
+      - ["java.lang", "String", true, "concat", "(String)", "", "Argument[this]", "ReturnValue", "taint", "manual"]
+      - ["java.lang", "String", true, "trim", "()", "", "Argument[this]", "ReturnValue", "value", "manual"]
+"""
+SCHEME = """
+nation(unique int key: @nation, string name: string ref, int region: @region ref);
+region(unique int key: @region, string name: string ref);
+@place = @nation | @region;
+case @nation.region of 0 = @african | 1 = @american;
+"""
+
+
+def _sources(path: str, text: str, language: str) -> Callable[[SparkSession, str], Database]:
+    def setup(spark: SparkSession, sf_dir: str) -> Database:
+        files = spark.createDataFrame([(path, bytearray(text.encode()))], "path string, content binary")
+        return split_facts(spark, facts_of(files, "", (language,)), scheme_of((language,)))
+
+    return setup
+
+
+def _models(spark: SparkSession, sf_dir: str) -> Database:
+    return add_models(Database(spark), parse_models(MODELS))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> Database:
+    db = Database(spark, SCHEME)
+    for name in ("nation", "region"):
+        db.add(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return db
+
+
+def _values(names: str, *rows: tuple) -> str:
+    cells = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x} AS BIGINT)" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {cells}) AS t({names})"
+
+
+_C, _PY = _sources("a.c", C_SOURCE, "c"), _sources("dog.py", PYTHON_SOURCE, "python")
+QUERIES |= {
+    "facts_c_functions": Query("datalog", "q(f, p, i) :- functions(g, f, _), params(g, i, p, _).", _values("f, p, i", ("baz", "x", 0), ("bar", "x", 0), ("bar", "spare", 1), ("foo", "n", 0)), setup=_C),
+    "facts_c_lines": Query("datalog", "q(n, total, code) :- files(f, n), numlines(f, total, code, _).", _values("n, total, code", ("a.c", 5, 4)), setup=_C),
+    "facts_python_calls": Query("ql", "class Call extends @py_expr { Call() { py_exprs(this, 0, _, _) } string name() { exists(int f | py_exprs(f, _, this, 0) and py_expr_names(f, result)) } } from Call c select c.name() as n", _values("n", ("join",), ("Dog",), ("bark",)), setup=_PY),
+    "facts_python_scopes": Query("datalog", "q(c, f) :- py_Classes(k, c, _, _), py_Functions(_, f, k, _).", _values("c, f", ("Dog", "bark")), setup=_PY),
+    "analysis_call_graph": Query("datalog", analyses.CALL_GRAPH + "q(a, b) :- reaches(a, b).", _values("a, b", ("bar", "baz"), ("foo", "bar"), ("foo", "baz"), ("main", "gets"), ("main", "fp"), ("main", "foo"), ("main", "bar"), ("main", "baz")), setup=_C),
+    "analysis_data_flow": Query("datalog", analyses.DATA_FLOW + "q(f, a, b) :- flow(f, a, b).", _values("f, a, b", ("foo", "n", "y"), ("foo", "y", "z"), ("foo", "n", "z"), ("main", "foo", "fp")), setup=_C),
+    "analysis_points_to": Query("datalog", analyses.POINTS_TO + "q(f, v, t) :- points(f, v, t).", _values("f, v, t", ("main", "fp", "foo")), setup=_C),
+    "analysis_unused": Query("datalog", analyses.UNUSED_PARAMETERS + "q(f, p) :- unused(f, p).", _values("f, p", ("bar", "spare")), setup=_C),
+    "analysis_metrics": Query("datalog", analyses.METRICS + "q(f, n) :- parameters(f, n).", _values("f, n", ("baz", 1), ("bar", 2), ("foo", 1), ("main", 0)), setup=_C),
+    "analysis_dangerous": Query("ql", analyses.DANGEROUS, _values("target, caller", ("gets", "main")), setup=_C),
+    "models_summary": Query("ql", 'from string n, string i, string o where summaryModel("java.lang", "String", true, n, _, i, o, "taint", _) select n, i, o', _values("n, i, o", ("concat", "Argument[this]", "ReturnValue")), setup=_models),
+    "schema_union": Query("ql", "from int k, @place p where p = k select k", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION SELECT r_regionkey FROM region", setup=_places),
+    "schema_case": Query("ql", "class American extends @american { string name() { nation(this, result, _) } } from American a select a.name() as n", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1", setup=_places),
+}
+
+
 def database(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> Database:
     db = Database(spark)
     for name in names or TABLES:
@@ -152,7 +230,7 @@ def used_tables(text: str) -> list[str]:
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     q = QUERIES[name]
-    db = database(spark, sf_dir, used_tables(q.text) or ["region"])
+    db = q.setup(spark, sf_dir) if q.setup else database(spark, sf_dir, used_tables(q.text) or ["region"])
     if q.language == "datalog":
         return query_datalog(db, q.text, q.output, list(q.columns) or None)
     return query_ql(db, q.text)

@@ -99,10 +99,6 @@ class Engine:
                     self.derived[p] = self.spark.createDataFrame([], ", ".join(f"c{i} void" for i in range(len(recursive[p][0].args))))
                     schemas[p] = self.derived[p].schema
                 waiting = []
-        # What the rounds read and do not change is written once, not derived again in each.
-        for p in {a.pred for p in stratum.preds for r in recursive[p] for a, _ in atoms(r.body)} - inside:
-            if p in self.derived:
-                self.derived[p] = self._written(self.derived[p])[1]
         doubled = self._doubled(stratum, recursive, start)
         files: dict[str, list[str]] = {p: [] for p in stratum.preds}
         delta: dict[str, DataFrame] = {}
@@ -114,6 +110,10 @@ class Engine:
             if n:
                 delta[p] = back
         rules = doubled if doubled is not None else recursive
+        # What the rounds read and do not change is written once, not derived again in each.
+        for p in {a.pred for p in stratum.preds for r in rules[p] for a, _ in atoms(r.body)} - inside:
+            if p in self.derived:
+                self.derived[p] = self._written(self.derived[p])[1]
         rounds = 0
         while delta:
             rounds += 1

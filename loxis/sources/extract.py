@@ -97,6 +97,17 @@ def extract(spark: SparkSession, paths: str | list[str], into: str, root: str =
     counts only, and so do files of languages that are not named or have no extractor. Languages that name
     tables alike go to databases of their own.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    facts_of(files, root, languages).write.mode("overwrite").partitionBy("relation").parquet(f"{into}/facts")
+    return split_facts(spark, spark.read.parquet(f"{into}/facts"), scheme_of(languages))
+
+
+def scheme_of(languages: tuple[str, ...] | list[str]) -> DbScheme:
+    return parse_dbscheme(COMMON + "".join(EXTRACTORS[k][1] for k in languages if k in EXTRACTORS))
+
+
+def facts_of(files: DataFrame, root: str, languages: tuple[str, ...] | list[str]) -> DataFrame:
+    """files (path, content) -> (relation, cells)."""
     known = {k: EXTRACTORS[k][2] for k in languages if k in EXTRACTORS}
     prefix = root.rstrip("/") + "/" if root else ""
 
@@ -121,10 +132,7 @@ def extract(spark: SparkSession, paths: str | list[str], into: str, root: str =
                     cells.append([None if x is None else str(x) for x in c])
             yield pa.RecordBatch.from_arrays([pa.array(relation, pa.string()), pa.array(cells, pa.list_(pa.string()))], names=["relation", "cells"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
-    files.mapInArrow(run, "relation string, cells array<string>").write.mode("overwrite").partitionBy("relation").parquet(f"{into}/facts")
-    text = COMMON + "".join(EXTRACTORS[k][1] for k in known)
-    return split_facts(spark, spark.read.parquet(f"{into}/facts"), parse_dbscheme(text))
+    return files.mapInArrow(run, "relation string, cells array<string>")
 
 
 def split_facts(spark: SparkSession, facts: DataFrame, scheme: DbScheme) -> Database:
