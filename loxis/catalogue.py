@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import analyses
 from .session import query_datalog, query_ql
-from .sources import extract_c, extract_python  # noqa: F401  register their languages
+from .sources import extract_c, extract_java, extract_python  # noqa: F401  register their languages
 from .sources.database import Database
 from .sources.extract import facts_of, scheme_of, split_facts
 from .sources.models import add_models, parse_models
@@ -174,11 +174,18 @@ case @nation.region of 0 = @african | 1 = @american;
 def _sources(path: str, text: str, language: str) -> Callable[[SparkSession, str], Database]:
     def setup(spark: SparkSession, sf_dir: str) -> Database:
         files = spark.createDataFrame([(path, bytearray(text.encode()))], "path string, content binary")
-        return split_facts(spark, facts_of(files, "", (language,)), scheme_of((language,)))
+        return split_facts(spark, facts_of(files, "", (language,)).persist(), scheme_of((language,)))
 
     return setup
 
 
+JAVA_SOURCE = """
+package zoo;
+class Animal { int age; Animal(int age) { this.age = age; } int older(int by) { int sum = age + by; return sum; } }
+class Dog extends Animal { Dog() { super(1); } void bark(int times) { older(times); new Animal(times); } }
+"""
+
+
 def _models(spark: SparkSession, sf_dir: str) -> Database:
     return add_models(Database(spark), parse_models(MODELS))
 
@@ -195,12 +202,17 @@ def _values(names: str, *rows: tuple) -> str:
     return f"SELECT * FROM (VALUES {cells}) AS t({names})"
 
 
-_C, _PY = _sources("a.c", C_SOURCE, "c"), _sources("dog.py", PYTHON_SOURCE, "python")
+_C, _PY, _JAVA = _sources("a.c", C_SOURCE, "c"), _sources("dog.py", PYTHON_SOURCE, "python"), _sources("Dog.java", JAVA_SOURCE, "java")
 QUERIES |= {
     "facts_c_functions": Query("datalog", "q(f, p, i) :- functions(g, f, _), params(g, i, p, _).", _values("f, p, i", ("baz", "x", 0), ("bar", "x", 0), ("bar", "spare", 1), ("foo", "n", 0)), setup=_C),
     "facts_c_lines": Query("datalog", "q(n, total, code) :- files(f, n), numlines(f, total, code, _).", _values("n, total, code", ("a.c", 5, 4)), setup=_C),
     "facts_python_calls": Query("ql", "class Call extends @py_expr { Call() { py_exprs(this, 0, _, _) } string name() { exists(int f | py_exprs(f, _, this, 0) and py_expr_names(f, result)) } } from Call c select c.name() as n", _values("n", ("join",), ("Dog",), ("bark",)), setup=_PY),
     "facts_python_scopes": Query("datalog", "q(c, f) :- py_Classes(k, c, _, _), py_Functions(_, f, k, _).", _values("c, f", ("Dog", "bark")), setup=_PY),
+    "facts_java_members": Query("datalog", "q(c, m, s) :- methods(_, m, s, _, k, _), classes_or_interfaces(k, c, _, _).", _values("c, m, s", ("Animal", "older", "(int)"), ("Dog", "bark", "(int)")), setup=_JAVA),
+    "facts_java_subtypes": Query("datalog", "q(a, b) :- extendsReftype(x, y), classes_or_interfaces(x, a, _, _), classes_or_interfaces(y, b, _, _).", _values("a, b", ("Dog", "Animal")), setup=_JAVA),
+    "bind_java_calls": Query("datalog", analyses.JAVA_CALL_BINDING + "q(n, m) :- bound(c, f), namestrings(n, _, c), methods(f, m, _, _, _, _).", _values("n, m", ("older", "older")), setup=_JAVA),
+    "bind_java_variables": Query("datalog", analyses.JAVA_VARIABLE_BINDING + "q(n, p) :- bound(e, v), namestrings(n, _, e), paramName(v, p).", _values("n, p", ("age", "age"), ("by", "by"), ("times", "times")), setup=_JAVA),
+    "bind_c_calls": Query("datalog", analyses.CALL_BINDING + "q(n, f) :- bound(c, k), child(v, 0, c), named(v, n), functions(k, f, _).", _values("n, f", ("baz", "baz"), ("bar", "bar"), ("foo", "foo")), setup=_C),
     "analysis_call_graph": Query("datalog", analyses.CALL_GRAPH + "q(a, b) :- reaches(a, b).", _values("a, b", ("bar", "baz"), ("foo", "bar"), ("foo", "baz"), ("main", "gets"), ("main", "fp"), ("main", "foo"), ("main", "bar"), ("main", "baz")), setup=_C),
     "analysis_data_flow": Query("datalog", analyses.DATA_FLOW + "q(f, a, b) :- flow(f, a, b).", _values("f, a, b", ("foo", "n", "y"), ("foo", "y", "z"), ("foo", "n", "z"), ("main", "foo", "fp")), setup=_C),
     "analysis_points_to": Query("datalog", analyses.POINTS_TO + "q(f, v, t) :- points(f, v, t).", _values("f, v, t", ("main", "fp", "foo")), setup=_C),

@@ -297,3 +297,46 @@ def test_class_files(spark, tmp_path):
     assert get("methods", 1, 2, 3) == [("bark", "(int, long[])", "java.lang.String")] * 2 and get("fields", 1, 2) == [("age", "int")] * 2 and get("constrs", 1) == [("Dog",), ("Puppy",)]
     program = 'class C extends @classorinterface { C() { classes_or_interfaces(this, _, _, _) } string name() { classes_or_interfaces(this, result, _, _) } C up() { extendsReftype(this, result) } predicate isStatic(string m) { exists(int x, int k | methods(x, m, _, _, this, _) and hasModifier(x, k) and modifiers(k, "static")) } } from C c, string m where c.isStatic(m) select c.up().name(), c.name(), m'
     assert rows(query_ql(db, program)) == [("Dog", "Puppy", "bark")]
+
+
+JAVA_SOURCE = '''package p.q;
+import java.util.List;
+interface Printable { String print(int n, String... rest) throws Exception; }
+abstract class Animal<T extends Comparable<T>> implements Printable {
+    private static final int MAX = 10;
+    protected List<Map<String, T>> items = new ArrayList<>();
+    Animal(int age) { super(); this.age = age; }
+    int run(int x) {
+        int y = MAX >> 2;
+        for (String s : names) { System.out.println(s + y); }
+        Runnable r = () -> { int z = y; bark(z); };
+        if (x > y && !(x instanceof Object o)) return (int) y; else while (y < 3) y++;
+        try { bark(x); } catch (IOException | RuntimeException e) { throw e; } finally { bark(1); }
+        switch (y) { case 1: break; default: y = 5L > 3 ? 1 : 2; }
+        return new Dog().run(items.get(0));
+    }
+    enum Color { RED, GREEN }
+}
+class Dog extends Animal<String> { Dog() { super(3); } void bark(int n) { } }
+class Broken { int f( { } void after() { bark(2); } }
+'''
+
+
+def test_java_facts(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/A.java").write_text(JAVA_SOURCE)
+    from loxis.sources import extract_java  # noqa: F401
+
+    db = extract(spark, str(tmp_path / "src"), str(tmp_path / "out"), root=str(tmp_path / "src"), languages=["java"])
+    get = lambda name, *c: sorted(tuple(r[i] for i in c) for r in db.relation(name).collect())
+    assert get("classes_or_interfaces", 1) == [("Animal",), ("Broken",), ("Color",), ("Dog",), ("Printable",)] and get("packages", 1) == [("p.q",)]
+    assert get("methods", 1, 2, 3) == [("after", "()", "void"), ("bark", "(int)", "void"), ("print", "(int, String...)", "String"), ("run", "(int)", "int")]
+    assert get("fields", 1, 2) == [("GREEN", "Color"), ("MAX", "int"), ("RED", "Color"), ("items", "List")] and get("constrs", 1) == [("Animal",), ("Dog",)]
+    assert get("localvars", 1, 2) == [("e", "IOException|RuntimeException"), ("o", "Object"), ("r", "Runnable"), ("s", "String"), ("y", "int"), ("z", "int")]
+    analyses.bind_java(db)
+    calls = "class Call extends @expr { Call() { exprs(this, 61, _, _, _) } string name() { namestrings(result, _, this) } } from Call c, int m, string n where callableBinding(c, m) and methods(m, n, _, _, _, _) select c.name(), n"
+    assert rows(query_ql(db, calls)) == [("bark", "bark"), ("run", "run")]
+    bound = "from int e, int v, string n where variableBinding(e, v) and namestrings(n, _, e) and (fields(v, n, _, _) or localvars(v, n, _, _) or paramName(v, n)) select n"
+    assert rows(query_ql(db, bound)) == [("MAX",), ("age",), ("e",), ("items",), ("s",), ("x",), ("y",), ("z",)]
+    up = "from string a, string b, int x, int y where extendsReftype(x, y) and classes_or_interfaces(x, a, _, _) and classes_or_interfaces(y, b, _, _) select a, b"
+    assert rows(query_ql(db, up)) == [("Dog", "Animal")]
