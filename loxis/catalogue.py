@@ -18,8 +18,8 @@ from .sources.extract import facts_of, scheme_of, split_facts
 from .sources.models import add_models, parse_models
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-#: Tables with a key, whose rows are distinct.
-KEYED = {"region", "nation", "customer", "supplier", "part", "orders", "lineitem"}
+#: Keys of the driver's tables that have one.
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"]}
 
 TREE = """
 parent(p, c) :- part(c, _, _, _, _, _), c > 0, p = c / 2.
@@ -228,7 +228,7 @@ QUERIES |= {
 def database(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> Database:
     db = Database(spark)
     for name in names or TABLES:
-        db.add(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), unique=name in KEYED)
+        db.add(name, spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), key=KEYS.get(name))
     return db
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.database import Database
 from .compile import Compiler, col, unioned
-from .ir import And, Atom, Program, Rule, Var, alternatives, atoms, rewrite
+from .ir import And, Atom, Compare, Const, Not, Program, Rule, Var, alternatives, atoms, expr_vars, rewrite
 from .stratify import Stratum, stratify
 
 DELTA = "Δ"
@@ -50,13 +50,35 @@ class Engine:
         return {p: self.derived[p] for p in (outputs if outputs is not None else heads) if p in self.derived}
 
     def _is_unique(self, r: Rule) -> bool:
-        """Whether a rule only filters a relation that has a key, and keeps all its columns."""
-        items = r.body.items if isinstance(r.body, And) else (r.body,)
-        found = [f for f in items if isinstance(f, Atom)]
-        if len(found) != 1 or not self.db.is_unique(found[0].pred) or any(list(atoms(f)) for f in items if f is not found[0]):
+        """Whether the head of a rule determines which row of each relation it came from, so no row comes twice."""
+        items, waiting = [], [r.body]
+        while waiting:
+            f = waiting.pop()
+            if isinstance(f, And):
+                waiting += f.items
+            else:
+                items.append(f)
+        if not all(isinstance(f, (Atom, Compare, Not)) for f in items):
+            return False
+        fixed = {a.name for a in r.args if isinstance(a, Var)}
+        left = [f for f in items if isinstance(f, Atom)]
+        if not left:
             return False
-        kept = {a.name for a in r.args if isinstance(a, Var)}
-        return all(isinstance(a, Var) and a.name in kept for a in found[0].args)
+        while True:
+            done = len(left), len(fixed)
+            for f in list(left):
+                known = [isinstance(a, Const) or isinstance(a, Var) and a.name in fixed for a in f.args]
+                keys = self.db.keys(f.pred) if f.pred not in self.derived else [tuple(range(len(f.args)))]
+                if any(all(k < len(known) and known[k] for k in key) for key in keys):
+                    fixed |= {a.name for a in f.args if isinstance(a, Var)} - {"_"}
+                    left.remove(f)
+            for f in items:
+                if isinstance(f, Compare) and f.op == "=":
+                    for v, e in ((f.left, f.right), (f.right, f.left)):
+                        if isinstance(v, Var) and expr_vars(e) <= fixed:
+                            fixed.add(v.name)
+            if not left or (len(left), len(fixed)) == done:
+                return not left
 
     # Recursion
 

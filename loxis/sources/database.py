@@ -22,9 +22,13 @@ class Database:
         self._relations: dict[str, DataFrame] = {}
         self._columns: dict[str, list[str]] = {}
         self._unique: set[str] = set()
+        self._keys: dict[str, list[tuple[int, ...]]] = {}
 
-    def add(self, name: str, df: DataFrame, unique: bool = False) -> Database:
-        """Register a relation; columns keep their order. unique: it has no equal rows, by a key."""
+    def add(self, name: str, df: DataFrame, unique: bool = False, key: Iterable[str] | None = None) -> Database:
+        """Register a relation; columns keep their order. unique: it has no equal rows; key: columns that no two rows share."""
+        if key:
+            unique = True
+            self._keys[name] = [tuple(df.columns.index(c) for c in key)]
         kinds = dict(df.dtypes)
         self._columns[name] = df.columns
         self._relations[name] = df.select(*(F.col(f"`{c}`").cast(_WIDER.get(kinds[c], kinds[c])).alias(f"c{i}") for i, c in enumerate(df.columns)))
@@ -51,8 +55,16 @@ class Database:
     def columns(self, name: str) -> list[str]:
         return self._columns[name]
 
-    def is_unique(self, name: str) -> bool:
-        return name in self._unique
+    def keys(self, name: str) -> list[tuple[int, ...]]:
+        """Places of columns that tell the rows of a relation apart; none if it may have equal rows."""
+        if name not in self._unique:
+            return []
+        out = list(self._keys.get(name, []))
+        if self.schema and name in self.schema.tables:
+            t = self.schema.tables[name]
+            names = [c.name for c in t.columns]
+            out += [(k,) for k, c in enumerate(t.columns) if c.unique] + [tuple(names.index(c) for c in k) for k in t.keysets]
+        return [*out, tuple(range(len(self._relations[name].columns)))]
 
     def relation(self, name: str) -> DataFrame | None:
         """None if there is none: an undefined relation is empty."""

@@ -191,6 +191,16 @@ def test_save_and_load(spark, tmp_path):
     assert back.names() == ["files", "stmts"] and back.columns("files") == ["id", "name"] and rows(query_ql(back, "from @element e select e")) == [(1,), (10,)]
 
 
+def test_keys_spare_the_distinct(spark):
+    db = Database(spark).add("t", spark.createDataFrame([(1, 7, "a"), (2, 7, "b")], "k long, g long, s string"), key=["k"]).add("u", spark.createDataFrame([(7, "x"), (7, "x")], "g long, n string"))
+    plan = lambda text: query_datalog(db, text, "q")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan("q(k) :- t(k, _, _), k > 0.") and "Aggregate" not in plan("q(k, s) :- t(k, g, _), t(k, _, s).")
+    assert "Aggregate" not in plan("q(k, j) :- t(k, g, _), t(j, g, _), not u(k, _).")
+    for text in ("q(g) :- t(_, g, _).", "q(k) :- t(k, g, _), u(g, _).", "q(g, n) :- u(g, n).", "q(k) :- t(k, g, _), t(_, g, _)."):
+        assert "Aggregate" in plan(text)
+        assert len(rows(query_datalog(db, text, "q"))) == len(set(rows(query_datalog(db, text, "q"))))
+
+
 def test_plans(spark, db, tmp_path):
     """Filters and columns reach the scan; a negated atom is an anti join; nothing runs in Python."""
     spark.range(100).selectExpr("id", "id % 7 AS k", "'x' AS s").write.parquet(str(tmp_path / "t"))
