@@ -2,9 +2,10 @@
 
 Counts of words are exact and joined back to the documents over distinct-word tables. Counts of pairs of
 words go to a filter: a pair of count c is entered under the numbers 1, 2, ... up to its quantised log
-frequency, and is read back by probing those numbers until one is missing. The filter holds the pairs that
-make up at least one in PAIRS of the training tokens, of which there are at most PAIRS however large the corpus,
-so it has a proven bound and is broadcast.
+frequency, and is read back by probing those numbers until one is missing. Every pair of the training
+documents is entered, whatever the size of the corpus. The filter is in segments by bucket of pairs, each made
+and probed in the task where the bucket's pairs meet, which answers each block's distinct pairs in their
+order; so no task holds more of it than one segment.
 
 The score of a token mixes, where its pair is in the filter, the pair's share of its history with the word's
 own discounted probability. The discounted mass goes to as many unknown words as there are known ones.
@@ -30,8 +31,8 @@ from .common import crc_text, pack, staged, unpack
 from .textops import mix
 
 END = b"\n"
-#: Most pairs in the filter, base of the quantised log, bits of the filter for each entry, probes for each.
-PAIRS, BASE, BITS, PROBES = 1 << 23, 1.5, 10, 5
+#: Base of the quantised log, bits of the filter for each entry, probes for each.
+BASE, BITS, PROBES = 1.5, 10, 5
 #: Weight of the pair's share.
 LAMBDA = 0.2
 _START, _K, _STEP, _LOW48 = (np.uint64(x) for x in (0x51ED270B7A2C9D35, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, (1 << 48) - 1))
@@ -107,8 +108,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         sizes = np.array(kept["n_words"])
         train = np.repeat(~np.array(kept["held_out"], bool), sizes)
         seen = np.bincount(codes[train], minlength=len(words))
-        pair = pair_hash(codes, word_hash(words), sizes)[train]
-        pair, n = _summed(pair, np.ones(len(pair), np.int64))
+        pair, n = _summed(pair_hash(codes, word_hash(words), sizes), train.astype(np.int64))
         ends = np.searchsorted(bucket_of(pair, parts), np.arange(parts + 1))
 
         def of_bucket(b: int) -> bytes | None:
@@ -138,43 +138,39 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = staged(answer(blocks, count), "counts")
     stats = [unpack(r.answer) for r in counts.where("block is null").select("answer").collect()]
     types, tokens, once, twice = (sum(x) for x in zip(*stats)) if stats else (0, 0, 0, 0)
-    least = max(1, -(-tokens // PAIRS))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def enter(bucket: int, rows: list) -> Iterator[tuple]:
+        def told(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+            low, high, k = unpack(data)
+            return np.cumsum((high.astype(np.uint64) << np.uint64(32)) | from_planes(low), dtype=np.uint64), k.astype(np.int64)
+
         pair, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for _, data in rows:
-            low, high, k = unpack(data)
-            waiting.append((np.cumsum((high.astype(np.uint64) << np.uint64(32)) | from_planes(low), dtype=np.uint64), k.astype(np.int64)))
+            waiting.append(told(data))
             if sum(len(p) for p, _ in waiting) > max(1 << 20, len(pair)):
                 pair, n = _summed(np.concatenate([pair, *(p for p, _ in waiting)]), np.concatenate([n, *(k for _, k in waiting)]))
                 waiting = []
         pair, n = _summed(np.concatenate([pair, *(p for p, _ in waiting)]), np.concatenate([n, *(k for _, k in waiting)]))
-        s = Segment.build(pair[n >= least], n[n >= least], least)
-        yield None, bucket, pack((s.size, s.bits))
+        level = Segment.build(pair[n > 0], n[n > 0], 1).levels(pair).astype(np.uint8)
+        for block, data in rows:
+            yield block, parts + bucket, pack(level[np.searchsorted(pair, told(data)[0])])
 
-    found = {r.bucket: unpack(r.answer) for r in answer(blocks, enter, "more").collect()}
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = docs.sparkSession.sparkContext.broadcast(found)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(kept: dict, got: dict) -> Iterator[pa.RecordBatch]:
-        segments = {b: Segment(*x) for b, x in shared.value.items()}
-        replies = answers_of(got)
+        replies = answers_of({b: x for b, x in got.items() if b < parts})
         seen = in_code_order(kept["bucket"], np.concatenate([x[0] for x in replies]))
         h = in_code_order(kept["bucket"], np.concatenate([x[1].astype(np.uint64) | (x[2].astype(np.uint64) << np.uint64(32)) for x in replies]))
         sizes, codes = np.array(kept["n_words"]), kept["codes"]
         first = np.cumsum(sizes) - sizes
         base_word = np.log10((seen + 1) / (tokens + 1 * (types + 1)))
         one_word = np.where(seen > 0, (seen - discount) / tokens, discount / tokens) if tokens else np.ones(len(seen))
-        pair, back = np.unique(pair_hash(codes, h, sizes), return_inverse=True)
-        where, level = bucket_of(pair, parts), np.zeros(len(pair), np.int64)
-        ends = np.searchsorted(where, np.arange(parts + 1))
-        for b, s in segments.items():
-            level[ends[b] : ends[b + 1]] = s.levels(pair[ends[b] : ends[b + 1]])
-        level = level[back]
-        times = np.where(level > 0, least * BASE ** (level - 1.0), 0)
+        _, back = np.unique(pair_hash(codes, h, sizes), return_inverse=True)
+        level = np.concatenate(answers_of({b: x for b, x in got.items() if b >= parts}))[back].astype(np.int64)
+        times = np.where(level > 0, BASE ** (level - 1.0), 0)
         history = np.empty(len(codes))
         history[1:] = seen[codes[:-1]]
         history[first] = seen[np.bincount(codes[first + sizes - 1]).argmax()] if len(first) else 0
@@ -184,5 +180,5 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         columns = [kept["doc_id"], kept["held_out"], sizes, known, np.full(len(sizes), tokens), np.add.reduceat(base_word[codes], first), np.add.reduceat(np.log10(p), first)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    answers = counts.where("block is not null")
+    answers = counts.where("block is not null").unionByName(answer(blocks, enter, "more"))
     return meet(blocks, answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

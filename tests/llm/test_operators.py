@@ -326,6 +326,34 @@ def test_lm(corpus):
     assert lm.lm_scores(corpus.empty).collect() == []
 
 
+def test_lm_keeps_every_pair(corpus, monkeypatch):
+    """Rare pairs count too, whatever bound on their number there was before."""
+    whole = got(lm.lm_scores(corpus.frame))
+    monkeypatch.setattr(lm, "PAIRS", 64, raising=False)
+    assert got(lm.lm_scores(corpus.frame)) == whole
+    tokens = [(i, [*solid(t), "\n"]) for i, t in corpus.rows]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    count = collections.Counter(x for i, w in tokens if not held(i) for x in w)
+    pairs = collections.Counter(p for i, w in tokens if not held(i) for p in zip([None, *w], w))
+    n, once, twice = sum(count.values()), *(list(count.values()).count(k) for k in (1, 2))
+    discount = min(0.9, max(0.1, once / (once + 2 * twice)))
+
+    def score(words):
+        total = 0.0
+        for before, x in zip([None, *words], words):
+            c = pairs[before, x]
+            times = lm.BASE ** math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) if c else 0
+            share = min(1, times / max(1, count["\n" if before is None else before]))
+            one = (count[x] - discount) / n if count[x] else discount / n
+            total += math.log10(lm.LAMBDA * share + (1 - lm.LAMBDA) * one)
+        return total
+
+    want = ordered((i, len(w), score(w)) for i, w in tokens)
+    out = ordered((r[0], r[2], r[6]) for r in whole)
+    close = sum(abs(a[2] - b[2]) < 1e-6 + 0.02 * abs(b[2]) for a, b in zip(out, want))  # a filter may take a pair for known
+    assert [x[:2] for x in out] == [x[:2] for x in want] and close > 0.95 * len(want)
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(4)
     pair, n = np.unique(rng.integers(0, 1 << 48, 20_000, dtype=np.uint64)), None
