@@ -42,7 +42,7 @@ GENERATORS = (
     r"(?<![0-9+(])(?=((?:\+[0-9]{1,3}+[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3,4}+)[ .-]?[0-9]{3,4}+[ .-][0-9]{3,4}+)(?![0-9]))[0-9+(]",
 )
 #: Texts that have none of this hold no match of any rule or generator.
-ANY = r"[0-9@]|[\(\[\{]at[\)\]\}]|(?i: dot )"
+ANY = r"[0-9@]|(?i:[\(\[\{]at[\)\]\}]| at )"
 LEFT, RIGHT = 24, 4
 EXAMPLES, ROUNDS, SHRINK, PRECISION = 6000, 8, 0.7, 0.98
 _SPOTS = "array<struct<s:int,v:string,l:string,r:string>>"

@@ -91,6 +91,16 @@ def test_pii(spark, corpus, pii_model):
     assert pii.find_pii(corpus.empty, pii_model).collect() == []
 
 
+def test_pii_spelt_out_without_digits(spark, pii_model):
+    texts = ["write to anna(AT)mail(DOT)com or", "x joe[At]site.org y", "contact joe at mail(dot)com for", "contact joe at mail.com for", "K.L{AT}corp{dot}io", "to eva AT site DOT net.", "no address"]
+    for t in texts:
+        assert not re.search("[0-9@]", t) and (re.search(pii.ANY, t) is not None) == (re.search(pii.GENERATORS[0], t) is not None)
+    frame = lambda more: spark.createDataFrame([(i, t + more) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.find_pii(frame(""), pii_model).collect()}
+    assert out == {r.doc_id: r.spans for r in pii.find_pii(frame(" 7"), pii_model).collect()}  # a digit elsewhere changes nothing
+    assert out[0] == "email:9:29" and out[6] == ""
+
+
 def test_redaction(spark, corpus, pii_model):
     texts = [(1, "é mail a.b@c.de now", 20), (2, None, 0), (3, "+1 4111 1111 1111 1111 and 10.0.0.1", 9), (4, "nothing here 12", 15)]
     out = {r.doc_id: (r.text, r.n_chars) for r in pii.redacted(spark.createDataFrame(texts, "doc_id long, text string, n_chars int"), pii_model).collect()}
