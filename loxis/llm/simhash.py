@@ -1,6 +1,7 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Fingerprints that differ in at most four bits have, of three segments, one that differs in at most one. Each
+Fingerprints that differ in at most four bits have, of three segments, one that differs in at most one; for a
+distance d of other parameters it is one of d // 2 + 1. Each
 segment is indexed under its values with one bit left out, so such fingerprints meet under an equal key, and
 are verified there. Copies share a fingerprint and stand for themselves once; what meets under a key is
 linked by a spanning forest when it is many, so a group of thousands makes no row for each pair.
@@ -23,13 +24,18 @@ from .common import staged, width
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Segments as (first bit, bits): the least number of which one must differ in at most one bit.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Runs of equal keys up to this long are verified pair by pair, longer ones by a spanning forest.
 SHORT = 16
 
 
-def fingerprint(text: str | None) -> int:
+def segments(distance: int) -> list[tuple[int, int]]:
+    """(first bit, bits): the least number of which one must differ in at most one bit."""
+    n = distance // 2 + 1
+    ends = [64 * k // n + (k * 64 % n > 0) for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     import xxhash
 
     words = (text or "").encode().lower().split()
@@ -39,7 +45,7 @@ def fingerprint(text: str | None) -> int:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     start = np.cumsum(sizes + 1) - sizes - 1
     end = start + sizes
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist())], np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
@@ -47,21 +53,21 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, fp): the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def variants(fp: Column) -> Column:
+def variants(fp: Column, distance: int = DISTANCE) -> Column:
     """One key for each bit of each segment: the segment's number and bit, and its value without that bit."""
     out, number = [], 0
-    for first, bits in SEGMENTS:
+    for first, bits in segments(distance):
         value = F.shiftrightunsigned(fp, first).bitwiseAND((1 << bits) - 1)
         for j in range(bits):
             rest = F.shiftleft(F.shiftright(value, j + 1), j).bitwiseOR(value.bitwiseAND((1 << j) - 1))
@@ -70,10 +76,10 @@ def variants(fp: Column) -> Column:
     return F.array(*out)
 
 
-def _first_shared(x: np.ndarray) -> np.ndarray:
+def _first_shared(x: np.ndarray, distance: int) -> np.ndarray:
     """Of fingerprints that differ in the bits x: the number of the first variant they share."""
     out = np.full(len(x), -1)
-    for first, bits in reversed(SEGMENTS):
+    for first, bits in reversed(segments(distance)):
         own = (x >> np.uint64(first)) & np.uint64((1 << bits) - 1)
         one = np.bitwise_count(own) <= 1
         at = np.where(own == 0, 0, np.bitwise_count(own - np.uint64(1)))
@@ -81,14 +87,14 @@ def _first_shared(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
+def _forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that connect whatever is connected within one run."""
     out, rest = [], fp
     while len(rest):
         waiting, rest = [rest[0]], rest[1:]
         while waiting and len(rest):
             p = waiting.pop()
-            near = np.bitwise_count(rest ^ p) <= DISTANCE
+            near = np.bitwise_count(rest ^ p) <= distance
             if near.any():
                 out += [(int(p), int(q)) for q in rest[near]]
                 waiting += list(rest[near])
@@ -96,7 +102,7 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _linked(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified links between equal keys; key is sorted."""
     begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     size = np.diff(np.append(begin, len(key)))
@@ -105,24 +111,24 @@ def _linked(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k, f = key[short], fp[short]
     for d in range(1, SHORT):
         x = f[d:] ^ f[:-d]
-        hit = (k[d:] == k[:-d]) & (np.bitwise_count(x) <= DISTANCE)
-        hit[hit] = _first_shared(x[hit]) == (k[d:][hit] >> 32)
+        hit = (k[d:] == k[:-d]) & (np.bitwise_count(x) <= distance)
+        hit[hit] = _first_shared(x[hit], distance) == (k[d:][hit] >> 32)
         us.append(f[:-d][hit])
         vs.append(f[d:][hit])
     for a, n in zip(begin[size > SHORT], size[size > SHORT]):
-        found = np.array(_forest(fp[a : a + n]), np.uint64).reshape(-1, 2)
+        found = np.array(_forest(fp[a : a + n], distance), np.uint64).reshape(-1, 2)
         us.append(found[:, 0])
         vs.append(found[:, 1])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """distinct (fp) -> links (u, v) that connect all fingerprints within DISTANCE of each other."""
+def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """distinct (fp) -> links (u, v) that connect all fingerprints within the distance of each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(key):
-                u, v = _linked(key, fp)
+                u, v = _linked(key, fp, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the run that may go on in the next batch
@@ -142,27 +148,27 @@ def links(distinct: DataFrame) -> DataFrame:
             yield from out(*(np.concatenate(x) for x in zip(*held)))
 
     parts = width(distinct.sparkSession)
-    dealt = distinct.select("fp").repartition(parts, "fp").select("fp", F.explode(variants(F.col("fp"))).alias("key")).repartition(parts, "key")
+    dealt = distinct.select("fp").repartition(parts, "fp").select("fp", F.explode(variants(F.col("fp"), distance)).alias("key")).repartition(parts, "key")
     return dealt.sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint and component_id, the least doc_id that it reaches by links."""
-    table = staged(fingerprints(docs), "fingerprints")
+    table = staged(fingerprints(docs, shingle), "fingerprints")
     distinct = staged(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = components(links(distinct.select("fp")))
+    stars = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     own = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return table.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs, with all their columns, that have the least id of their component.
 
     Of rows with the same id one stays, the one of least text; rows of null id all stay.
     """
-    chosen = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    chosen = near_duplicates(docs, shingle, distance).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     own = docs.join(chosen, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
     one = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
     return one.unionByName(docs.where("doc_id is null"))

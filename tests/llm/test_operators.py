@@ -414,6 +414,23 @@ def test_simhash(corpus):
     assert simhash.near_duplicates(corpus.empty).collect() == []
 
 
+def test_simhash_of_other_shingles_and_distances(spark):
+    assert all(sum(b for _, b in simhash.segments(d)) == 64 and len(simhash.segments(d)) == d // 2 + 1 for d in range(20))
+    words = [f"w{k}" for k in range(120)]
+    edited = lambda *at: " ".join("other" if k in at else w for k, w in enumerate(words))
+    rows = [(1, edited()), (2, edited(7)), (3, edited(7, 60)), (4, edited(7, 60, 90)), (5, "something else altogether here now")]
+    fps = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for distance in (3, 9, 14):
+        least = {i: i for i in fps}
+        for _ in fps:
+            least = {i: min(least[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= distance) for i in fps}
+        out = simhash.near_duplicates(frame, 5, distance).collect()
+        assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in out} == {i: (fps[i], least[i]) for i in fps}
+        assert {r.doc_id for r in simhash.representatives(frame, 5, distance).collect()} == set(least.values())
+    assert len(set(least.values())) == 2
+
+
 def test_links_of_random_and_dense_fingerprints(spark):
     rng = np.random.default_rng(6)
     dense = {0xDEADBEEF12345678 ^ sum(1 << int(b) for b in rng.choice(12, rng.integers(0, 9)) * 5) for _ in range(300)}
