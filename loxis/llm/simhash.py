@@ -54,14 +54,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, fp): the 64 bits as a signed long."""
+    """docs (doc_id, text) -> (doc_id, fp): the 64 bits as a signed long; a third column of docs, a long `mark`, stays."""
+    kept = ["doc_id", *docs.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(fp)], names=[*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept[1:]).mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def variants(fp: Column, distance: int = DISTANCE) -> Column:
@@ -152,23 +153,34 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
+def _rooted(table: DataFrame, distance: int, **least: Column) -> DataFrame:
+    """table (fp, ...) -> fp, what is asked for as the least of its rows, and the root of its component."""
+    distinct = staged(table.groupBy("fp").agg(*(c.alias(name) for name, c in least.items())), "distinct")
+    stars = components(links(distinct.select("fp"), distance))
+    return distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", *least, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint and component_id, the least doc_id that it reaches by links."""
-    table = staged(fingerprints(docs, shingle), "fingerprints")
-    distinct = staged(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    table = staged(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    rooted = _rooted(table, distance, least=F.min("doc_id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     own = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return table.join(own, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, with all their columns, that have the least id of their component.
+    """The row of docs, with all its columns, that has the least id of its component, one for each component.
 
-    Of rows with the same id one stays, the one of least text; rows of null id all stay.
+    A row is known by its id and a hash of its text, so rows of one id and different texts go each by its own
+    component; of such rows in one component the one of least hash stays, of equal rows any one. Of the rows of
+    null id of a component one stays too, the one of least hash.
     """
-    chosen = near_duplicates(docs, shingle, distance).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(chosen, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    one = own.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-    return one.unionByName(docs.where("doc_id is null"))
+    table = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), shingle)
+    rooted = _rooted(table, distance, least=F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))), nameless=F.min(F.when(F.col("doc_id").isNull(), F.struct("doc_id", "mark"))))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"), F.min("nameless").alias("nameless"))
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("__id")
+    chosen = least.select(F.inline(F.filter(F.array("least", "nameless"), lambda x: x.isNotNull()))).select(name, F.col("mark").alias("__mark"))
+    own = docs.select("*", name, F.xxhash64("text").alias("__mark")).join(chosen, ["__id", "__mark"], "left_semi")
+    one = own.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__mark").orderBy("text"))).where("__n = 1")
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns))

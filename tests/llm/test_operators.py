@@ -414,6 +414,16 @@ def test_simhash(corpus):
     assert simhash.near_duplicates(corpus.empty).collect() == []
 
 
+def test_representatives_of_shared_and_null_ids(spark):
+    a, b, c = ("first " * 30 + "one here", "second text of other words " * 9, "of the nameless " * 12)
+    assert len(set(linked([fingerprint(t) for t in (a, b, c)]).values())) == 3
+    kept = lambda rows: ordered(map(tuple, simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()))
+    assert kept([(5, b, 2), (5, a, 1), (3, b, 3)]) == [(3, b, 3), (5, a, 1)]
+    assert kept([(5, a, 2), (5, b, 1), (3, a, 3)]) == [(3, a, 3), (5, b, 1)]
+    assert kept([(5, a, 1), (5, a, 1), (5, b, 2)]) == ordered([(5, a, 1), (5, b, 2)])
+    assert kept([(None, c, 1), (None, c, 1), (7, c, 2), (None, a, 3), (None, a, 3)]) == ordered([(None, c, 1), (None, a, 3), (7, c, 2)])
+
+
 def test_simhash_of_other_shingles_and_distances(spark):
     assert all(sum(b for _, b in simhash.segments(d)) == 64 and len(simhash.segments(d)) == d // 2 + 1 for d in range(20))
     words = [f"w{k}" for k in range(120)]
