@@ -3,7 +3,8 @@
 Documents come in batches. A batch's line hashes become a run: sorted by hash, each with the number of
 documents that hold it and the largest id of those. When a level has FANOUT runs they are merged into one of
 the next level. A line goes when its hash is in the runs with enough documents and another document, with
-the largest id, keeps it: the batches' lines are merge-joined against the runs, and what is not hit stays.
+the largest id, keeps it: once all batches are in, their lines are merge-joined against the runs, and what is
+not hit stays.
 
 Defined cases: a null or empty text is one empty line; a null id counts as a document of its own, smaller
 than any other; rows with the same id are one document, and repeated rows each lose the same lines; lines
