@@ -5,6 +5,9 @@ inverted index of the templates; hits on close diagonals are a candidate, whose
 template's within a band. A match needs four fifths of the template's words. Of matches that overlap, the one
 with more matched words stays.
 
+Parts of a template that lie too far apart for one band, and are too small each, are chained where they are in
+the same order in both texts, with at most as many words between two of them as the template has.
+
 Templates with fewer hashes than a winnowing window are looked up with all hashes of a document, so that an
 exact occurrence of any template is a candidate.
 
@@ -95,8 +98,8 @@ class Index:
             self.tables.append((h[at], row[at], at - cut[row[at]]))
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Local alignment on diagonals (text place - template place) from low to high: matched words, first and last place in text."""
+def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+    """Local alignment on diagonals (text place - template place) from low to high: places of matched words in template and text."""
     best, end = 0, (0, 0)
     score: dict[tuple[int, int], int] = {}
     step: dict[tuple[int, int], tuple[int, int] | None] = {}
@@ -107,14 +110,37 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
             score[i, j], step[i, j] = max(options, key=lambda o: o[0])
             if score[i, j] > best:
                 best, end = score[i, j], (i, j)
-    matched, at, first = 0, end if best else None, end[1]
+    pairs, at = [], end if best else None
     while at is not None and score.get(at, 0) > 0:
         before = step[at]
         if before == (at[0] - 1, at[1] - 1) and template[at[0]] == text[at[1]]:
-            matched += 1
-            first = at[1]
+            pairs.append(at)
         at = before
-    return matched, first, end[1]
+    return pairs[::-1]
+
+
+def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """Of the local alignment: matched words, first and last place in text."""
+    pairs = aligned(template, text, low, high)
+    return (len(pairs), pairs[0][1], pairs[-1][1]) if pairs else (0, 0, 0)
+
+
+def chained(parts: list[list[tuple[int, int]]], reach: int) -> Iterator[tuple[int, int, int]]:
+    """Matched words, first and last place in text of the best chain that ends with each part but the chain's first."""
+    parts = sorted(parts, key=lambda p: (p[-1][1], p[-1][0]))
+    best: list[tuple[int, int]] = []
+    for k, own in enumerate(parts):
+        here = (len(own), own[0][1])
+        for j in range(k - 1, -1, -1):
+            t, x = parts[j][-1]
+            if x + reach < own[0][1]:
+                break
+            more = [b for a, b in own if a > t and b > x]
+            if more and more[0] - x <= reach + 1:
+                here = max(here, (best[j][0] + len(more), best[j][1]))
+        best.append(here)
+        if here[0] > len(own):
+            yield here[0], here[1], own[-1][1]
 
 
 def matches(codes: np.ndarray, ends: np.ndarray, index: Index, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -132,7 +158,7 @@ def matches(codes: np.ndarray, ends: np.ndarray, index: Index, coverage: float)
         row = np.searchsorted(ends, at, "right")
         found.append(np.column_stack([row, which[k], at - begin[row] - place[k]]))
     hits = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-    at = 0
+    at, parts = 0, []
     while at < len(hits):
         row, which, low = hits[at].tolist()
         template = index.codes[which]
@@ -144,10 +170,17 @@ def matches(codes: np.ndarray, ends: np.ndarray, index: Index, coverage: float)
         text = codes[begin[row] : begin[row + 1]]
         first = max(0, low - band)
         stop = min(len(text), high + band + len(template))
-        n, a, b = align(template, text[first:stop], low - band - first, high + band - first)
-        if n >= coverage * len(template):
-            yield row, which, n, first + a, first + b
+        pairs = [(i, first + j) for i, j in aligned(template, text[first:stop], low - band - first, high + band - first)]
+        if len(pairs) >= coverage * len(template):
+            yield row, which, len(pairs), pairs[0][1], pairs[-1][1]
+        elif pairs:
+            parts.append(pairs)
         at = last + 1
+        if at == len(hits) or hits[at][0] != row or hits[at][1] != which:
+            for n, a, b in chained(parts, len(template)):
+                if n >= coverage * len(template):
+                    yield row, which, n, a, b
+            parts = []
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE) -> DataFrame:

@@ -260,6 +260,17 @@ def test_licenses(spark, corpus):
     assert licenses.scan(corpus.empty).collect() == []
 
 
+def test_licenses_with_words_inserted(spark):
+    words = licenses.TEMPLATES["Apache-2.0"][1].split()
+    put = lambda n, *at: " ".join(w + (" " + " ".join(f"new{k}x{j}" for j in range(n)) if k in at else "") for k, w in enumerate(words))
+    half = " ".join(words[: len(words) // 2])
+    rows = [(1, "before " + put(9, 40) + " after"), (2, put(30, 20, 50)), (3, " ".join(words[40:] + words[:40])), (4, f"{half} and again {half}"), (5, put(200, 40))]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"A": [" ".join(words)]}).collect()}
+    assert out[1].n_matches == 1 and out[1].spans == f"A:7:{len(rows[0][1]) - 7}" and out[1].coverage == 1
+    assert out[2].n_matches == 1 and out[2].coverage == 1
+    assert [out[k].n_matches for k in (3, 4, 5)] == [0, 0, 0]  # other order, one half twice, too far apart
+
+
 def test_alignment_is_local_and_banded():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 7, 3, 4, 5, 8])
     assert licenses.align(a, b, 0, 3) == (5, 1, 6)
