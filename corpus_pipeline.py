@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loxis.llm.bpe import encode
 from loxis.llm.common import read_table, staged
-from loxis.llm.decontaminate import decontaminate
+from loxis.llm.decontaminate import clean
 from loxis.llm.line_dedup import deduped
 from loxis.llm.quality import classify
 from loxis.llm.queries import VOCABULARY
@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"), keep_clean=True)
+    """Documents that hold any window of the benchmark go, however long they are."""
+    return clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
