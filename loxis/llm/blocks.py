@@ -11,7 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -93,25 +93,15 @@ def make_blocks(docs: DataFrame, columns: list[str], split: Callable, label: str
 
 
 def answer(blocks: DataFrame, reply: Callable, column: str = "words") -> DataFrame:
-    """reply: a bucket and its rows, as (block, what is in column), -> rows of block, bucket and answer."""
+    """reply: a bucket and an iterator of its rows, as (block, what is in column), -> rows of block, bucket and answer."""
     names = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("answer", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            for row in reply(bucket, rows):
+        rows = ((b.as_py(), block.as_py(), data.as_py()) for batch in batches for b, block, data in zip(*(batch.column(c) for c in ("bucket", "block", column))))
+        for bucket, own in groupby(rows, key=lambda r: r[0]):
+            for row in reply(bucket, ((block, data) for _, block, data in own)):
                 yield pa.RecordBatch.from_pylist([dict(zip(names.names, row))], names)
 
-        bucket, rows = None, []
-        for batch in batches:
-            for b, block, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", column))):
-                if b != bucket and rows:
-                    yield from flush()
-                    rows = []
-                bucket = b
-                rows.append((block, words))
-        if rows:
-            yield from flush()
-
     dealt = blocks.where("bucket >= 0").where(F.col(column).isNotNull()).select("bucket", "block", column)
     dealt = dealt.repartition(width(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "block string, bucket int, answer binary")

@@ -4,12 +4,14 @@ Documents are split into pre-tokens in the executors, each distinct word is enco
 back by position, and decoding looks each id up in the table of pieces.
 
 Defined cases: a null text is encoded like the empty one (no ids, empty decoded text); repeated rows and
-null ids give a row each; an empty table gives no rows; other columns of the input are not read.
+null ids give a row each; an empty table gives no rows; other columns of the input are not read; a vocabulary whose
+tokenizer is not a plain byte-level one is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -30,12 +32,27 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_WORDS, JOIN_WORDS = 1 << 20, 1 << 18
 
 
+def _refuse_others(told: dict) -> None:
+    """Words are split by PATTERN and pieces spelt by bytes here: a tokenizer that does otherwise would get wrong ids."""
+    split, spell = told["pre_tokenizer"] or {}, told["decoder"] or {}
+    wrong = [
+        told["normalizer"] is not None and "a normalizer",
+        (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True) and "another pre-tokenizer than byte-level without a prefix space",
+        spell.get("type") != "ByteLevel" and "another decoder than byte-level",
+        told["model"].get("type") != "BPE" and "another model than BPE",
+        any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in told["added_tokens"]) and "added tokens that take blanks or are words only",
+    ]
+    if any(wrong):
+        raise ValueError("this tokenizer has " + ", ".join(w for w in wrong if w))
+
+
 @cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
+    _refuse_others(json.loads(found.to_str()))
     found.no_truncation()
     found.no_padding()
     return found
@@ -111,7 +128,9 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFram
     def split(text: str) -> list[str]:
         return _splitter(vocabulary)(text)
 
-    def reply(bucket: int, rows: list) -> Iterator[tuple]:
+    _tokenizer(vocabulary)
+
+    def reply(bucket: int, rows: Iterator[tuple[str, bytes]]) -> Iterator[tuple]:
         tok, known = _tokenizer(vocabulary), {}
         kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
         for block, data in rows:

@@ -1,14 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words are exact and joined back to the documents over distinct-word tables. Counts of pairs of
-words go to a filter: a pair of count c is entered under the numbers 1, 2, ... up to its quantised log
-frequency, and is read back by probing those numbers until one is missing. Every pair of the training
-documents is entered, whatever the size of the corpus. The filter is in segments by bucket of pairs, each made
-and probed in the task where the bucket's pairs meet, which answers each block's distinct pairs in their
-order; so no task holds more of it than one segment.
+Counts of words and of pairs of words go to a filter: an n-gram of count c is entered under the numbers 1, 2, ...
+up to its quantised log frequency, and is read back by probing those numbers until one is missing. Every one of
+the training documents is entered, whatever the size of the corpus. The filter is in segments by bucket of words
+or pairs, each made and probed in the task where the bucket's n-grams meet, which answers each block's distinct
+ones in their order; so no task holds more of it than one segment. The base score has exact counts of words.
 
-The score of a token mixes, where its pair is in the filter, the pair's share of its history with the word's
-own discounted probability. The discounted mass goes to as many unknown words as there are known ones.
+The score of a token mixes, by what the probes tell, the share of its pair in the history with the word's own
+discounted probability. The discounted mass goes to as many unknown words as there are known ones.
 
 Defined cases: a null or empty text has only the end token; a null id counts as the empty text for the fold;
 without training documents every token is unknown, of probability 1 in both models; repeated rows give a row
@@ -64,8 +63,13 @@ def _summed(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
+def times_of(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for."""
+    return np.where(level > 0, BASE ** (level - 1.0), 0)
+
+
 class Segment:
-    """A part of the filter: the pairs of one bucket."""
+    """A part of the filter: the words or pairs of one bucket."""
 
     def __init__(self, size: int, bits: np.ndarray):
         self.size, self.bits = size, bits
@@ -76,15 +80,15 @@ class Segment:
         return (h % np.uint64(size)).astype(np.int64)
 
     @classmethod
-    def build(cls, pair: np.ndarray, n: np.ndarray, least: int) -> Segment:
-        level = np.floor(np.log(n / least) / math.log(BASE) + 1e-9).astype(np.int64) + 1
-        size = max(64, int(level.sum()) * BITS)
-        bits = np.zeros(-(-size // 8), np.uint8)
+    def build(cls, pair: np.ndarray, n: np.ndarray, bits: int = BITS) -> Segment:
+        level = np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64) + 1
+        size = max(64, int(level.sum()) * bits)
+        cells = np.zeros(-(-size // 8), np.uint8)
         for i in range(1, int(level.max(initial=0)) + 1):
             for k in range(PROBES):
                 h = cls.cell(pair[level >= i], i, k, size)
-                np.bitwise_or.at(bits, h >> 3, np.uint8(1) << (h & 7).astype(np.uint8))
-        return cls(size, bits)
+                np.bitwise_or.at(cells, h >> 3, np.uint8(1) << (h & 7).astype(np.uint8))
+        return cls(size, cells)
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
         """Probe 1, 2, ... for each pair until one is missing."""
@@ -98,8 +102,8 @@ class Segment:
         return out
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def lm_scores(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. bits: of the filter, for each entry."""
 
     def split(text: str) -> list[bytes]:
         return [*text.encode().lower().split(), END]
@@ -120,27 +124,34 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
         return (lambda mine: {"seen": seen[mine]}), of_bucket
 
-    def count(bucket: int, rows: list) -> Iterator[tuple]:
+    def count(bucket: int, told: Iterator[tuple[str, bytes]]) -> Iterator[tuple]:
         total: dict[bytes, int] = defaultdict(int)
+        rows = [*told]
         for _, data in rows:
             row = unpack(data)
             for w, n in zip(row["words"], row["seen"].tolist()):
                 total[w] += n
+        seen = np.fromiter(total.values(), np.int64, len(total))
+        found, own = seen[seen > 0], word_hash([*total])
+        filter = Segment.build(own[seen > 0], found, bits)
         for block, data in rows:
             words = unpack(data)["words"]
             h = word_hash(words)
-            yield block, bucket, pack((np.fromiter((total[w] for w in words), np.int64, len(words)), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16)))
-        found = [n for n in total.values() if n]
-        yield None, bucket, pack((len(found), sum(found), found.count(1), found.count(2)))
+            yield block, bucket, pack((np.fromiter((total[w] for w in words), np.int64, len(words)), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint16), filter.levels(h).astype(np.uint8)))
+        told = float(times_of(filter.levels(own[seen > 0])).sum())
+        yield None, bucket, pack((len(found), int(found.sum()), int((found == 1).sum()), int((found == 2).sum()), told))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.pmod(crc_text("doc_id"), F.lit(7)) == 2).alias("held_out"), "text")
     blocks = make_blocks(own, ["doc_id", "held_out"], split, "lm", extra)
     counts = staged(answer(blocks, count), "counts")
     stats = [unpack(r.answer) for r in counts.where("block is null").select("answer").collect()]
-    types, tokens, once, twice = (sum(x) for x in zip(*stats)) if stats else (0, 0, 0, 0)
+    types, tokens, once, twice = (sum(x[k] for x in stats) for k in range(4))
+    mass = math.fsum(x[4] for x in stats)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def enter(bucket: int, rows: list) -> Iterator[tuple]:
+    def enter(bucket: int, given: Iterator[tuple[str, bytes]]) -> Iterator[tuple]:
+        rows = [*given]
+
         def told(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             low, high, k = unpack(data)
             return np.cumsum((high.astype(np.uint64) << np.uint64(32)) | from_planes(low), dtype=np.uint64), k.astype(np.int64)
@@ -153,7 +164,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 pair, n = _summed(np.concatenate([pair, *(p for p, _ in waiting)]), np.concatenate([n, *(k for _, k in waiting)]))
                 waiting = []
         pair, n = _summed(np.concatenate([pair, *(p for p, _ in waiting)]), np.concatenate([n, *(k for _, k in waiting)]))
-        level = Segment.build(pair[n > 0], n[n > 0], 1).levels(pair).astype(np.uint8)
+        level = Segment.build(pair[n > 0], n[n > 0], bits).levels(pair).astype(np.uint8)
         for block, data in rows:
             yield block, parts + bucket, pack(level[np.searchsorted(pair, told(data)[0])])
 
@@ -167,14 +178,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         sizes, codes = np.array(kept["n_words"]), kept["codes"]
         first = np.cumsum(sizes) - sizes
         base_word = np.log10((seen + 1) / (tokens + 1 * (types + 1)))
-        one_word = np.where(seen > 0, (seen - discount) / tokens, discount / tokens) if tokens else np.ones(len(seen))
+        times = times_of(in_code_order(kept["bucket"], np.concatenate([x[3] for x in replies])).astype(np.int64))
+        one_word = np.where(times > 0, times - discount, discount) / mass if tokens else np.ones(len(seen))
         _, back = np.unique(pair_hash(codes, h, sizes), return_inverse=True)
         level = np.concatenate(answers_of({b: x for b, x in got.items() if b >= parts}))[back].astype(np.int64)
-        times = np.where(level > 0, BASE ** (level - 1.0), 0)
         history = np.empty(len(codes))
-        history[1:] = seen[codes[:-1]]
-        history[first] = seen[np.bincount(codes[first + sizes - 1]).argmax()] if len(first) else 0
-        share = np.minimum(1, times / np.maximum(history, 1))
+        history[1:] = times[codes[:-1]]
+        history[first] = times[codes[first + sizes - 1]]  # the end of a document stands for the start of the next
+        share = np.minimum(1, times_of(level) / np.maximum(history, 1))
         p = LAMBDA * share + (1 - LAMBDA) * one_word[codes]
         known = np.add.reduceat((seen[codes] > 0).astype(np.int64), first)
         columns = [kept["doc_id"], kept["held_out"], sizes, known, np.full(len(sizes), tokens), np.add.reduceat(base_word[codes], first), np.add.reduceat(np.log10(p), first)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode
@@ -21,7 +22,7 @@ from .quality import classify
 from .sharding import shard
 from .simhash import near_duplicates
 
-VOCABULARY = os.environ.get("LOXIS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+VOCABULARY = os.environ.get("LOXIS_VOCABULARY") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
