@@ -22,8 +22,8 @@ from .common import crc_text
 from .textops import SOLID, chunks, utf8, words
 
 PASSAGE_WORDS, GRAMS = 48, 32
-#: Labelled documents of each class to learn from, at most: the bound of the sample that reaches the driver.
-SAMPLE = 1000
+#: Labelled documents of each class to learn from, and passages of each, evenly spaced, at most: the bound of the sample that reaches the driver.
+SAMPLE, SAMPLE_PASSAGES = 1000, 256
 THRESHOLD = 0.3
 CODE, GATE, STEPS, RATE = 16, 8, 150, 0.03
 CLASSES = 12
@@ -50,19 +50,18 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     row_of_word = np.repeat(np.arange(len(n_words)), n_words)
     place = np.arange(len(w.start)) - (w.ends - n_words)[row_of_word]
     of_word = (ends - n_pass)[row_of_word] + place // PASSAGE_WORDS
-    # Bytes belong to the passage of the word that they are in or follow; leading blanks to the first passage.
+    # Bytes belong to the passage of the word that they are in or follow; those before a row's first word to its first passage.
     first = np.flatnonzero(np.diff(of_word, prepend=-1))
-    begin = w.start[first].copy()
-    head = place[first] == 0
-    begin[head] = offsets[row_of_word[first[head]]]
-    of_byte = np.zeros(len(data), np.int64)
-    if len(first):
-        of_byte = np.repeat(of_word[first], np.diff(np.append(begin, len(data))))
-        of_byte = np.concatenate([np.full(len(data) - len(of_byte), of_word[0]), of_byte])
+    begin = np.zeros(total, np.int64)
+    begin[of_word[first]] = w.start[first]
+    begin[ends - n_pass] = offsets[:-1]
+    of_byte = np.repeat(np.arange(total), np.diff(np.append(begin, len(data))))
     counts = np.bincount(of_byte * CLASSES + kind[data], minlength=total * CLASSES)[: total * CLASSES].reshape(total, CLASSES)
     if len(data) > 1:
         two = (data[:-1].astype(np.int32) << 8) | data[1:]
-        grams = np.bincount(of_byte[:-1] * GRAMS + gram[two], minlength=total * GRAMS).reshape(total, GRAMS)
+        inside = np.ones(len(data), bool)  # a row's last byte and the next row's first are no pair
+        inside[offsets[1:][np.diff(offsets) > 0] - 1] = False
+        grams = np.bincount((of_byte * GRAMS)[:-1][inside[:-1]] + gram[two][inside[:-1]], minlength=total * GRAMS).reshape(total, GRAMS)
     else:
         grams = np.zeros((total, GRAMS))
     size = np.maximum(counts.sum(1), 1)
@@ -146,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             for first, last in chunks(offsets):
                 x, ends = passages(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 cut = np.concatenate([[0], ends])
-                rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                rows = [x[a + (np.arange(n) * (b - a)) // n].astype(np.float32).tobytes() for a, b in zip(cut[:-1], cut[1:]) for n in [min(b - a, SAMPLE_PASSAGES)]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), batch.column("label").slice(first, last - first), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
     bags = sorted(texts.mapInArrow(run, "doc_id long, label int, x binary").collect())
