@@ -6,7 +6,7 @@ a chain of Bloom filters, and two fingerprints are compared by the overlap of th
 
 Defined cases: a null text is the empty one, whose fingerprint is empty; a text of less than a window is one
 feature; two empty fingerprints are alike (1), an empty and another are not (0); rows are in the order of
-their ids, nulls first, and of their texts where ids are equal; a single document is its own next one;
+their ids, nulls first, and of a hash of their texts where ids are equal; a single document is its own next one;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ WINDOW, SPAN, POPULARITY = 64, 64, 16
 FILTER_BITS, PROBES, FEATURES = 2048, 5, 128
 BINS, _UNIT = 1025, 24
 GROUP_BYTES = 1 << 20
+#: Filters that are compared with as many others at a time.
+STEP = 1024
 #: n log2 n, scaled so that sums of it stay whole.
 _G = np.array([0, *(round(n * np.log2(n) * 64) for n in range(1, WINDOW + 2))], np.int32)
 _K = np.uint64(0x9FB21C651E98DF25)
@@ -128,17 +131,25 @@ def likeness(a: list[tuple[int, bytes]], b: list[tuple[int, bytes]]) -> float:
         return float(a == b)
     if (len(a), sum(n for n, _ in a), a) > (len(b), sum(n for n, _ in b), b):
         a, b = b, a
-    others = [int.from_bytes(x, "big") for _, x in b]
-    total = 0.0
-    for n, bits in a:
-        own = int.from_bytes(bits, "big")
-        best = 0.0
-        for other in others:
-            p, q = own.bit_count(), other.bit_count()
-            chance, most = p * q / FILTER_BITS, min(p, q)
-            best = max(best, ((own & other).bit_count() - chance) / (most - chance) if most > chance else float(own == other))
-        total += n * best
-    return total / sum(n for n, _ in a)
+    best = np.concatenate([_best(_bits(a[k : k + STEP]), b) for k in range(0, len(a), STEP)])
+    return sum(n * float(x) for (n, _), x in zip(a, best)) / sum(n for n, _ in a)
+
+
+def _bits(chain: list[tuple[int, bytes]]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(x for _, x in chain), np.uint8).reshape(len(chain), -1), axis=1).astype(np.float32)
+
+
+def _best(own: np.ndarray, chain: list[tuple[int, bytes]]) -> np.ndarray:
+    """For each filter the best normalised overlap with one of the chain: a product of bit matrices, part by part."""
+    best, p = np.zeros(len(own)), own.sum(1, dtype=np.float64)[:, None]
+    for k in range(0, len(chain), STEP):
+        other = _bits(chain[k : k + STEP])
+        q, both = other.sum(1, dtype=np.float64)[None, :], (own @ other.T).astype(np.float64)
+        chance, most = p * q / FILTER_BITS, np.minimum(p, q)
+        same = (both == p) & (both == q)
+        found = np.where(most > chance, (both - chance) / np.where(most > chance, most - chance, 1), same)
+        best = np.maximum(best, found.max(1))
+    return best
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -177,30 +188,43 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds not above key, found in two steps of about the square root of their number."""
+def _bucket(place: Column, bounds: list[tuple[int, int]]) -> Column:
+    """The number of bounds (key, mark) not above place, found in two steps of about the square root of their number."""
     step = max(1, int(len(bounds) ** 0.5))
     fine = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    number = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    coarse = F.greatest(number(F.array(*(F.lit(x[0]) for x in fine))) - 1, F.lit(0))
-    return coarse * step + number(F.get(F.array(*(F.array(*map(F.lit, x)) for x in fine)), coarse))
+    number = lambda xs: F.size(F.filter(xs, lambda b: b <= place))
+    one = lambda b: F.struct(F.lit(b[0]).cast("long").alias("key"), F.lit(b[1]).cast("long").alias("mark"))
+    coarse = F.greatest(number(F.array(*(one(x[0]) for x in fine))) - 1, F.lit(0))
+    return coarse * step + number(F.get(F.array(*(F.array(*map(one, x)) for x in fine)), coarse))
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """bucket, last, key, doc_id, text: buckets of ids in order, each followed by the document after its last, marked."""
+    """bucket, last, doc_id, text: buckets of documents in order, each followed by the document after its last, marked.
+
+    The order is by id, then by a hash of the text, so many rows of one id do not meet in one bucket, and texts
+    are no sort keys.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("mark"))
     parts = 4 * width(spark)
-    bounds = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)])).first()[0]
-    rows = rows.withColumn("bucket", _bucket(F.col("key"), sorted(set(bounds))) if bounds else F.lit(0))
-    firsts = sorted((r.bucket, r.key) for r in rows.groupBy("bucket").agg(F.min("key").alias("key")).collect())
+    ids = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)])).first()[0]
+    many = {k: n for k, n in Counter(ids or ()).items() if n > 1}  # an id of more than a bucket's rows is split by the mark
+    bounds = [(k, -(1 << 63)) for k in sorted(set(ids or ()))]
+    if many:
+        found = rows.where(F.col("key").isin([*many])).groupBy("key").agg(F.percentile_approx("mark", [k / parts for k in range(1, parts)]).alias("marks")).collect()
+        bounds += [(r.key, m) for r in found for m in set(r.marks[:: max(1, parts // many[r.key])])]
+    place = F.struct("key", "mark")
+    rows = rows.withColumn("bucket", _bucket(place, sorted(set(bounds))) if bounds else F.lit(0))
+    firsts = sorted((r.bucket, tuple(r.place)) for r in rows.groupBy("bucket").agg(F.min(place).alias("place")).collect())
     if not firsts:
-        return rows.select("bucket", F.lit(0).alias("last"), "key", "doc_id", "text")
-    after = spark.createDataFrame([(b, k, firsts[i - 1][0]) for i, (b, k) in enumerate(firsts)], "bucket int, key long, before int")
-    heads = rows.join(F.broadcast(after), ["bucket", "key"]).groupBy("before").agg(F.min("text").alias("text"))
-    heads = heads.select(F.col("before").alias("bucket"), F.lit(1).alias("last"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), "text")
-    both = rows.select("bucket", F.lit(0).alias("last"), "key", "doc_id", "text").unionByName(heads)
-    return both.repartition(width(spark), "bucket").sortWithinPartitions("bucket", "last", "key", "text")
+        return rows.select("bucket", F.lit(0).alias("last"), "key", "mark", "doc_id", "text")
+    after = spark.createDataFrame([(b, *p, firsts[i - 1][0]) for i, (b, p) in enumerate(firsts)], "bucket int, key long, mark long, before int")
+    heads = rows.join(F.broadcast(after), ["bucket", "key", "mark"]).groupBy("before").agg(F.min("text").alias("text"))
+    none = F.lit(None).cast("long")
+    heads = heads.select(F.col("before").alias("bucket"), F.lit(1).alias("last"), none.alias("key"), none.alias("mark"), none.alias("doc_id"), "text")
+    both = rows.select("bucket", F.lit(0).alias("last"), "key", "mark", "doc_id", "text").unionByName(heads)
+    return both.repartition(width(spark), "bucket").sortWithinPartitions("bucket", "last", "key", "mark")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
