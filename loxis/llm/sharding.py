@@ -7,7 +7,7 @@ hands out intervals of ranks; the groups find their bin by their rank among thos
 
 Defined cases: a null text has no bytes and is equal to an empty one; null and repeated ids are rows like any
 other; with fewer groups than shards some shards are empty; a group larger than a fair share takes a shard of
-its own, and the others share the rest equally; other columns are not read.
+its own, and the others share the rest equally; other columns are not read, and written as they are.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, width
+from .common import free_name, staged, width
 
 SHARDS, ROW_BYTES = 40, 16
 
@@ -119,11 +119,10 @@ def near_equal(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int
     return out + [(s, k + alone, n) for s, k, n in best]
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    """docs with the size, checksum and hash of their texts."""
+def _measures() -> list[Column]:
+    """The size, checksum and hash of a text."""
     text = F.coalesce("text", F.lit(""))
-    made = {"__size": (F.octet_length(text) + ROW_BYTES).cast("long"), "__crc": F.crc32(text.cast("binary")), "__same": F.unhex(F.sha2(text.cast("binary"), 256))}
-    return docs.withColumns(made)
+    return [(F.octet_length(text) + ROW_BYTES).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("__same")]
 
 
 def placed(rows: DataFrame, shards: int) -> DataFrame:
@@ -148,8 +147,10 @@ def placed(rows: DataFrame, shards: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null)."""
     spark = docs.sparkSession
-    rows = staged(_measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "sizes")
-    out = staged(rows.join(placed(rows, shards), "__same").withColumn("part", F.pmod(F.xxhash64("doc_id", "__same"), F.lit(width(spark))).cast("int")), "placed")
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_measures()), "sizes")
+    # Rows are told apart by a number too, so that many of one id and text do not meet in one part.
+    part = F.pmod(F.xxhash64("doc_id", "__same", "number"), F.lit(width(spark))).cast("int").alias("part")
+    out = staged(rows.join(placed(rows, shards), "__same").select("*", F.monotonically_increasing_id().alias("number")).select("*", part), "placed")
     # Slots the same way: by parts of a shard, so that no task sorts a whole one.
     parts = out.groupBy("__shard", "part").agg(F.count("*").alias("n"))
     skip = F.coalesce(F.sum("n").over(Window.partitionBy("__shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -158,8 +159,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return slots.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), (F.col("own") + F.col("skip")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS) -> None:
-    """Write docs, with all their columns, to a folder `__shard=k` for each shard."""
-    rows = _measured(docs)
-    where = placed(staged(rows.select("__same", "__size"), "sizes"), shards)
-    rows.join(where, "__same").drop("__same", "__size", "__crc").write.mode("overwrite").partitionBy("__shard").parquet(folder)
+def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS) -> str:
+    """Write docs, with all their columns, to a folder `__shard=k` for each shard; the name of the column that has k.
+
+    It has more underscores before it where docs have a column of that name.
+    """
+    name = free_name(docs.columns, "__shard")
+    where = placed(staged(docs.select(*_measures()).select("__same", "__size"), "sizes"), shards)
+    rows = docs.select(F.struct("*").alias("row"), _measures()[-1]).join(where, "__same")
+    rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("__shard").alias(name)).write.mode("overwrite").partitionBy(name).parquet(folder)
+    return name

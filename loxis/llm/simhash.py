@@ -179,8 +179,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     table = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), shingle)
     rooted = _rooted(table, distance, least=F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))), nameless=F.min(F.when(F.col("doc_id").isNull(), F.struct("doc_id", "mark"))))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"), F.min("nameless").alias("nameless"))
-    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("__id")
-    chosen = least.select(F.inline(F.filter(F.array("least", "nameless"), lambda x: x.isNotNull()))).select(name, F.col("mark").alias("__mark"))
-    own = docs.select("*", name, F.xxhash64("text").alias("__mark")).join(chosen, ["__id", "__mark"], "left_semi")
-    one = own.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__mark").orderBy("text"))).where("__n = 1")
-    return one.select(*(F.col(f"`{c}`") for c in docs.columns))
+    name, mark = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name"), F.xxhash64("text").alias("mark")
+    chosen = least.select(F.inline(F.filter(F.array("least", "nameless"), lambda x: x.isNotNull()))).select(name, "mark")
+    own = docs.select(F.struct("*").alias("row"), name, mark).join(chosen, ["name", "mark"], "left_semi")
+    one = own.withColumn("n", F.row_number().over(Window.partitionBy("name", "mark").orderBy("row.text"))).where("n = 1")
+    return one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -6,7 +6,13 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["size", "shard", "fp", "bucket", "label", "key", "block", "held_out", "score", "x", "base"]
+#: Names that the operators give to columns of their own, at some place.
+CLASHING = (
+    "size shard fp bucket label key block held_out score x base row mark text_mark name hits items a n id least nameless root node u v part own skip slot law rank low high cell before bytes number "
+    "n_words n_hit words docs more answer seen fold kind mask last after doc_ID_ n_tokens fingerprint component_id "
+    "__id __text __at __line __h __batch __docs __last __held __held_last __n __l __one __drop __lines __gone __kept __mark __size __crc __same __shard __new __base __all __more "
+    "__n0 __n3 __base0 __base3 __more0 __more3"
+).split()
 
 
 @dataclass
