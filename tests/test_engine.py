@@ -3,6 +3,7 @@
 import pytest
 
 from loxis.lang.datalog import SyntaxProblem, parse_datalog
+from loxis.lang.ql_syntax import QLError
 from loxis.plans.engine import Engine
 from loxis.plans.ir import StratificationError, UnboundVariable
 from loxis.session import query_all_ql, query_datalog, query_ql
@@ -31,7 +32,7 @@ def datalog(db, text, out="q"):
 CASES = {
     "closure": ("q(x,y) :- edge(x,y). q(x,z) :- q(x,y), edge(y,z).", [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]),
     "cycle": ("e(1,2). e(2,3). e(3,1). q(x,y) :- e(x,y). q(x,z) :- q(x,y), q(y,z).", [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]),
-    "unreachable": ("e(1,2). e(2,3). e(3,4). e(1,5). e(5,6). e(6,7). e(7,3). e(6,8). n(x) :- e(x,_). n(y) :- e(_,y). p(x,y) :- e(x,y). p(x,z) :- e(x,y), p(y,z). q(x) :- n(x), not p(1,x).", [(1,)]),
+    "not reached": ("road(3,9). road(9,4). road(4,3). road(7,4). road(8,8). town(a) :- road(a,_). town(b) :- road(_,b). way(b) :- road(3,b). way(c) :- way(b), road(b,c). q(a) :- town(a), not way(a).", [(7,), (8,)]),
     "zero is kept": ("n(x) :- edge(x,_). n(y) :- edge(_,y). q(x,k) :- n(x), k = count { y : edge(x,y) }.", [(1, 1), (2, 1), (3, 1), (4, 0)]),
     "strict drops": ("n(x) :- edge(x,_). n(y) :- edge(_,y). q(x,k) :- n(x), k = strictcount { y : edge(x,y) }.", [(1, 1), (2, 1), (3, 1)]),
     "repeated variable": ("q(x) :- r(x,x).", [(1,), (2,)]),
@@ -86,29 +87,30 @@ def test_errors(db):
 
 
 LIB = """
-class Function extends int {
-  Function() { functions(this, _, _) }
-  string getName() { functions(this, result, _) }
-  predicate hasParameters() { params(this, _, _, _) }
-  string getAParameterName() { params(this, _, result, _) }
-  int size() { result = count(this.getAParameterName()) }
-  string show() { result = "fn " + this.getName() }
+class Routine extends int {
+  string label;
+  Routine() { functions(this, label, _) }
+  string title() { result = label }
+  int arity() { result = count(int k | params(this, k, _, _)) }
+  string accepts() { exists(int k | params(this, k, result, _)) }
+  predicate takesAny() { this.arity() > 0 }
+  string text() { result = label + "/" + this.arity().toString() }
 }
-class Main extends Function { Main() { this.getName() = "main" } override string show() { result = "main: " + super.show() } }
-class Local extends int { Local() { localvariables(this, _, _) } string getName() { localvariables(this, result, _) } }
-class Either = Function or Local;
+class Start extends Routine { Start() { functions(this, "main", _) } override string text() { result = "start " + super.text() } }
+class Slot extends int { Slot() { localvariables(this, _, _) } string title() { localvariables(this, result, _) } }
+class Item = Routine or Slot;
 """
 QL = {
     "implies": ("from int x where val(x) and (x = 10 implies val(x)) select x", [(1,), (5,), (10,), (20,)]),
     "if": ("from int x, int l where val(x) and if x > 9 then l = 100 else l = 0 select x, l", [(1, 0), (5, 0), (10, 100), (20, 100)]),
     "negated comparison": ("from int x where val(x) and not x > 9 select x", [(1,), (5,)]),
-    "set": ('import lib from Function f where f.getName() in ["main", "helper"] select f.getName()', [("helper",), ("main",)]),
-    "union class": ("import lib from Either e select e", [(1,), (2,), (3,), (10,), (11,), (12,)]),
-    "members of a union": ("import lib from Either e where e > 9 select e.getName()", [("a",), ("b",), ("c",)]),
-    "overriding": ("import lib from Function f select f.show()", [("fn helper",), ("fn unused",), ("main: fn main",)]),
-    "inherited": ("import lib from Main m select m.getName(), m.size()", [("main", 0)]),
-    "without": ("import lib from Function f where not f.hasParameters() select f.getName()", [("main",), ("unused",)]),
-    "grouped by this": ("import lib from Function f select f.getName(), f.size()", [("helper", 2), ("main", 0), ("unused", 0)]),
+    "set": ('import lib from Routine r where r.title() in ["main", "helper"] select r.title()', [("helper",), ("main",)]),
+    "union class": ("import lib from Item e select e", [(1,), (2,), (3,), (10,), (11,), (12,)]),
+    "members of a union": ("import lib from Item e where e > 9 select e.title()", [("a",), ("b",), ("c",)]),
+    "overriding": ("import lib from Routine r select r.text()", [("helper/2",), ("start main/0",), ("unused/0",)]),
+    "inherited": ("import lib from Start m select m.title(), m.arity()", [("main", 0)]),
+    "without": ("import lib from Routine r where not r.takesAny() select r.title()", [("main",), ("unused",)]),
+    "grouped by this": ("import lib from Routine r select r.title(), r.arity()", [("helper", 2), ("main", 0), ("unused", 0)]),
     "closure": ("from int a, int b where edge+(a, b) select a, b", [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]),
     "both closures": ("from int a where edge*(a, a) and not edge+(a, a) select a", [(1,), (2,), (3,)]),
     "vacuous forall": ("from int x where val(x) and forall(int y | edge(x, y) | y > 99) select x", [(5,), (10,), (20,)]),
@@ -134,8 +136,14 @@ QL = {
     "newtype": ("newtype T = A(int x) { val(x) and x > 5 } or B() predicate isB(T t) { t = B() } from int n where n = count(T t | not isB(t)) select n", [(2,)]),
     "module": ("module M { int twice(int x) { val(x) and result = 2 * x } } from int x where x = M::twice(10) select x", [(20,)]),
     "bindingset": ("bindingset[x] predicate even(int x) { x % 2 = 0 } from int x where val(x) and even(x) select x", [(10,), (20,)]),
-    "cast": ("import lib from Function f select f.(Main).getName()", [("main",)]),
-    "instanceof": ("import lib from Function f where not f instanceof Main select f", [(2,), (3,)]),
+    "cast": ("import lib from Routine r select r.(Start).title()", [("main",)]),
+    "instanceof": ("import lib from Routine r where not r instanceof Start select r", [(2,), (3,)]),
+    "module of a class and a predicate": ("signature class S; signature predicate link(int a, int b); module Walk<S T, link/2 step> { class Stop extends T { Stop() { step(_, this) } } predicate next(T a, T b) { step(a, b) } } predicate up(int a, int b) { edge(a, b) and a > 1 } from int a, int b where Walk<int, up/2>::next(a, b) or a = 0 and b instanceof Walk<int, edge/2>::Stop select a, b", [(0, 2), (0, 3), (0, 4), (2, 3), (3, 4)]),
+    "module of a module": ("signature module G { class N; predicate to(N a, N b); default int weight(N a) { exists(a) and result = 1 } } module Small implements G { class N extends int { N() { val(this) } } predicate to(N a, N b) { a < b and b < 11 } } module Big implements G { class N = Small::N; predicate to(N a, N b) { Small::to(b, a) } int weight(N a) { result = a } } module Reach<G X> { predicate far(X::N a, X::N b) { X::to+(a, b) } int cost(X::N a, X::N b) { far(a, b) and result = X::weight(a) } } module R = Reach<Big>; from int a, int b, int c where c = Reach<Small>::cost(a, b) or c = R::cost(a, b) select a, b, c", [(1, 5, 1), (1, 10, 1), (5, 1, 5), (5, 10, 1), (10, 1, 10), (10, 5, 10)]),
+    "modules in modules": ("signature class S; module A<S T> { module B<S U> { predicate both(T t, U u) { t = u } } } class Odd extends int { Odd() { val(this) and this % 2 = 1 } } class V extends int { V() { val(this) } } from int x where A<Odd>::B<V>::both(x, _) select x", [(1,), (5,)]),
+    "an import of a module with arguments": ("signature predicate p(int x); module Twice<p/1 q> { int twice(int x) { q(x) and result = 2 * x } } import Twice<val/1> from int x where x = twice(_) select x", [(2,), (10,), (20,), (40,)]),
+    "a comparison is no module": ("from int a, int b where edge(a, b) and a < b and b > 3 select a", [(3,)]),
+    "URL as an argument": ('from string u, string v where toUrl("a.c", 1, 2, 3, 4, u) and v = toUrl("a.c", 1, 2, 3, 4) select u, v', [("file://a.c:1:2:3:4", "file://a.c:1:2:3:4")]),
     "alias": ("predicate e = edge2/2; predicate edge2(int a, int b) { edge(a, b) and a > 1 } from int a where e(a, _) select a", [(2,), (3,)]),
 }
 
@@ -146,6 +154,17 @@ def test_ql(db, name):
     assert rows(query_ql(db, text, {"lib": LIB})) == want
 
 
+@pytest.mark.parametrize(("text", "why"), [
+    ("signature class S; module M<S T> { predicate p(T t) { t = 1 } } select count(int x | M<int, int>::p(x)) as n", "takes 1 arguments"),
+    ("signature predicate s(int x); module M<s/1 p> { predicate q(int x) { p(x) } } select count(int x | M<edge/2>::q(x)) as n", "does not fit"),
+    ("signature module G { predicate to(int a, int b); } module Bad implements G { } select 1 as n", "asks for"),
+    ("signature class S; module M<S T> { predicate p(T t) { M<M<T>::C>::p(t) } class C extends T { C() { this > 0 } } } select count(int x | M<int>::p(x)) as n", "without an end"),
+])
+def test_modules_that_do_not_fit(db, text, why):
+    with pytest.raises(QLError, match=why):
+        query_ql(db, text)
+
+
 def test_select_order_and_labels(db):
     df = query_ql(db, 'from int x where val(x) select x as "n", -x as m order by m')
     assert df.columns == ["n", "m"] and [r.n for r in df.collect()] == [20, 10, 5, 1]
