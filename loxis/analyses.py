@@ -16,61 +16,75 @@ from .sources.database import Database
 #: Kinds of C expressions.
 ADDRESS_OF, ASSIGN, CALL, ACCESS = 2, 52, 74, 84
 
-#: An expression that names something: its text and the function it is in.
-_NAMED = f"""
-named(e, name) :- exprs(e, {ACCESS}, _), valuetext(e, name).
-child(e, i, parent) :- exprparents(e, i, parent).
-within(e, f, name) :- enclosingfunction(e, f), functions(f, name, _).
+# Functions are known by their ids, variables by the id of their function and their name, as names may be those of
+# functions of several files. means(f, t, g): in function f the name t stands for function g, one of the same file
+# if there is one, and any of that name otherwise.
+_USES = f"""
+arm(p, k, e) :- exprparents(e, k, p).
+use(e, f, t) :- enclosingfunction(e, f), exprs(e, {ACCESS}, _), valuetext(e, t).
+home(x, u) :- element_location(x, l), locations_default(l, u, _, _, _, _).
+beside(f, t, g) :- use(_, f, t), functions(g, t, _), home(f, u), home(g, u).
+means(f, t, g) :- beside(f, t, g).
+means(f, t, g) :- use(_, f, t), functions(g, t, _), not beside(f, t, _).
+"""
+_SITES = f"""
+site(c, f, e) :- exprs(c, {CALL}, _), arm(c, 0, e), enclosingfunction(c, f).
+"""
+#: What is written to a variable: by its initialiser or an assignment.
+_WRITES = f"""
+write(f, t, e) :- localvariables(v, t, _), arm(v, 0, e), enclosingfunction(v, f).
+write(f, t, e) :- use(l, f, t), arm(a, 0, l), exprs(a, {ASSIGN}, _), arm(a, 1, e).
 """
 
-CALL_GRAPH = f"""{_NAMED}
-calls(caller, callee) :- exprs(c, {CALL}, _), child(v, 0, c), named(v, callee), within(c, _, caller).
-reaches(a, b) :- calls(a, b).
-reaches(a, c) :- reaches(a, b), calls(b, c).
-function(n) :- functions(_, n, _).
-leaf(n) :- function(n), not calls(n, _).
-root(n) :- function(n), calls(n, _), not calls(_, n).
+#: Over ids: which function invokes which, which names of no known function it calls, and what it depends on in the end.
+CALL_GRAPH = f"""{_USES}{_SITES}
+invokes(f, g) :- site(_, f, e), use(e, f, t), means(f, t, g).
+outside(f, t) :- site(_, f, e), use(e, f, t), not means(f, t, _).
+depends(f, g) :- invokes(f, g).
+depends(f, h) :- invokes(f, g), depends(g, h).
+leaf(f) :- functions(f, _, _), not invokes(f, _), not outside(f, _).
+entry(f) :- invokes(f, _), not invokes(_, f).
 """
 
-DATA_FLOW = f"""{_NAMED}
-step(f, to, from) :- localvariables(v, to, _), child(e, 0, v), named(e, from), within(v, _, f).
-step(f, to, from) :- localvariables(v, to, _), child(e, 0, v), child(o, _, e), named(o, from), within(v, _, f).
-step(f, to, from) :- exprs(a, {ASSIGN}, _), child(l, 0, a), named(l, to), child(r, 1, a), named(r, from), within(a, _, f).
-flow(f, from, to) :- step(f, to, from).
-flow(f, from, to) :- flow(f, from, middle), step(f, to, middle).
+#: A variable flows to one when it is used anywhere in what is written to that, but as the function of a call.
+DATA_FLOW = f"""{_USES}{_SITES}{_WRITES}
+inside(e, e) :- write(_, _, e).
+inside(e, y) :- inside(e, x), arm(x, _, y).
+moves(f, s, t) :- write(f, t, e), inside(e, x), use(x, f, s), not site(_, f, x).
+flow(f, s, t) :- moves(f, s, t).
+flow(f, s, u) :- moves(f, s, t), flow(f, t, u).
 """
 
-#: Inclusion-based: what a variable of a function may point to; copies, parameters and calls through pointers.
-POINTS_TO = f"""{_NAMED}
-target(e, t) :- exprs(e, {ADDRESS_OF}, _), child(o, 0, e), named(o, t).
-target(e, t) :- named(e, t), functions(_, t, _).
-stored(f, v, e) :- localvariables(d, v, _), child(e, 0, d), within(d, _, f).
-stored(f, v, e) :- exprs(a, {ASSIGN}, _), child(l, 0, a), named(l, v), child(e, 1, a), within(a, _, f).
-points(f, v, t) :- stored(f, v, e), target(e, t).
-points(f, v, t) :- stored(f, v, e), named(e, w), points(f, w, t).
-callee(c, f, n) :- exprs(c, {CALL}, _), child(v, 0, c), named(v, n), functions(_, n, _), within(c, _, f).
-callee(c, f, t) :- exprs(c, {CALL}, _), child(v, 0, c), named(v, p), within(c, _, f), points(f, p, t), functions(_, t, _).
-passed(n, p, f, a) :- callee(c, f, n), functions(g, n, _), params(g, i, p, _), k = i + 1, child(a, k, c).
-points(n, p, t) :- passed(n, p, _, a), target(a, t).
-points(n, p, t) :- passed(n, p, f, a), named(a, w), points(f, w, t).
+#: Inclusion-based: the functions that a variable may point to, by copies, arguments and calls through pointers.
+POINTS_TO = f"""{_USES}{_SITES}{_WRITES}
+denotes(e, f, g) :- use(e, f, t), means(f, t, g).
+denotes(e, f, g) :- exprs(e, {ADDRESS_OF}, _), arm(e, 0, o), use(o, f, t), means(f, t, g).
+points(f, v, g) :- write(f, v, e), denotes(e, f, g).
+points(f, v, g) :- write(f, v, e), use(e, f, w), points(f, w, g).
+target(c, f, g) :- site(c, f, e), denotes(e, f, g).
+target(c, f, g) :- site(c, f, e), use(e, f, w), points(f, w, g).
+given(g, p, f, a) :- target(c, f, g), params(g, i, p, _), k = i + 1, arm(c, k, a).
+points(g, p, h) :- given(g, p, f, a), denotes(a, f, h).
+points(g, p, h) :- given(g, p, f, a), use(a, f, w), points(f, w, h).
 """
 
-UNUSED_PARAMETERS = f"""{_NAMED}
-used(f, v) :- named(e, v), within(e, _, f).
-unused(f, p) :- params(g, _, p, _), functions(g, f, _), not used(f, p).
+UNUSED_PARAMETERS = f"""{_USES}
+unused(f, p) :- params(f, _, p, _), not use(_, f, p).
 """
 
-METRICS = f"""{_NAMED}
-parameters(f, n) :- functions(g, f, _), n = count {{ i : params(g, i, _, _) }}.
-expressions(f, n) :- functions(g, f, _), n = count {{ e : exprs(e, _, _), enclosingfunction(e, g) }}.
-statements(f, n) :- functions(g, f, _), n = count {{ s : stmts(s, _, _), enclosingfunction(s, g) }}.
-calls_made(f, c) :- exprs(e, {CALL}, _), child(v, 0, e), named(v, c), within(e, _, f).
+#: By function: the numbers of its parameters, statements and expressions, of the functions it invokes, and of those that invoke it.
+METRICS = f"""{CALL_GRAPH}
+own(x, f) :- enclosingfunction(x, f).
+parameters(f, n) :- functions(f, _, _), n = count {{ i : params(f, i, _, _) }}.
+statements(f, n) :- functions(f, _, _), n = count {{ x : own(x, f), stmts(x, _, _) }}.
+expressions(f, n) :- functions(f, _, _), n = count {{ x : own(x, f), exprs(x, _, _) }}.
+fan_out(f, n) :- functions(f, _, _), n = count {{ g : invokes(f, g) }}.
+fan_in(f, n) :- functions(f, _, _), n = count {{ g : invokes(g, f) }}.
 """
 
-#: A call is bound to the function of its name, the one of least id where there are several.
-CALL_BINDING = f"""{_NAMED}
-first(n, f) :- functions(_, n, _), f = min {{ g : functions(g, n, _) }}.
-bound(c, f) :- exprs(c, {CALL}, _), child(v, 0, c), named(v, n), first(n, f).
+#: A call is bound to the function that its name means, the one of least id where there are several.
+CALL_BINDING = f"""{_USES}{_SITES}
+bound(c, g) :- site(c, f, e), use(e, f, t), g = min {{ x : means(f, t, x) }}.
 """
 
 #: Java calls by method name or constructed type, and variables by the innermost kind of declaration of the name.

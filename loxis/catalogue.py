@@ -160,8 +160,8 @@ MODELS = """
 extensions:
   - addsTo: {pack: p, extensible: summaryModel}
     data:
-      - ["java.lang", "String", true, "concat", "(String)", "", "Argument[this]", "ReturnValue", "taint", "manual"]
-      - ["java.lang", "String", true, "trim", "()", "", "Argument[this]", "ReturnValue", "value", "manual"]
+      - ["zoo.food", "Bowl", true, "pour", "(Bowl,int)", "", "Argument[0]", "Argument[this].Element", "taint", "manual"]
+      - ["zoo.food", "Bowl", true, "lift", "()", "", "Argument[this]", "ReturnValue", "value", "manual"]
 """
 SCHEME = """
 nation(unique int key: @nation, string name: string ref, int region: @region ref);
@@ -212,14 +212,15 @@ QUERIES |= {
     "facts_java_subtypes": Query("datalog", "q(a, b) :- extendsReftype(x, y), classes_or_interfaces(x, a, _, _), classes_or_interfaces(y, b, _, _).", _values("a, b", ("Dog", "Animal")), setup=_JAVA),
     "bind_java_calls": Query("datalog", analyses.JAVA_CALL_BINDING + "q(n, m) :- bound(c, f), namestrings(n, _, c), methods(f, m, _, _, _, _).", _values("n, m", ("older", "older")), setup=_JAVA),
     "bind_java_variables": Query("datalog", analyses.JAVA_VARIABLE_BINDING + "q(n, p) :- bound(e, v), namestrings(n, _, e), paramName(v, p).", _values("n, p", ("age", "age"), ("by", "by"), ("times", "times")), setup=_JAVA),
-    "bind_c_calls": Query("datalog", analyses.CALL_BINDING + "q(n, f) :- bound(c, k), child(v, 0, c), named(v, n), functions(k, f, _).", _values("n, f", ("baz", "baz"), ("bar", "bar"), ("foo", "foo")), setup=_C),
-    "analysis_call_graph": Query("datalog", analyses.CALL_GRAPH + "q(a, b) :- reaches(a, b).", _values("a, b", ("bar", "baz"), ("foo", "bar"), ("foo", "baz"), ("main", "gets"), ("main", "fp"), ("main", "foo"), ("main", "bar"), ("main", "baz")), setup=_C),
-    "analysis_data_flow": Query("datalog", analyses.DATA_FLOW + "q(f, a, b) :- flow(f, a, b).", _values("f, a, b", ("foo", "n", "y"), ("foo", "y", "z"), ("foo", "n", "z"), ("main", "foo", "fp")), setup=_C),
-    "analysis_points_to": Query("datalog", analyses.POINTS_TO + "q(f, v, t) :- points(f, v, t).", _values("f, v, t", ("main", "fp", "foo")), setup=_C),
-    "analysis_unused": Query("datalog", analyses.UNUSED_PARAMETERS + "q(f, p) :- unused(f, p).", _values("f, p", ("bar", "spare")), setup=_C),
-    "analysis_metrics": Query("datalog", analyses.METRICS + "q(f, n) :- parameters(f, n).", _values("f, n", ("baz", 1), ("bar", 2), ("foo", 1), ("main", 0)), setup=_C),
+    "bind_c_calls": Query("datalog", analyses.CALL_BINDING + "q(n, f) :- bound(c, k), site(c, _, v), use(v, _, n), functions(k, f, _).", _values("n, f", ("baz", "baz"), ("bar", "bar"), ("foo", "foo")), setup=_C),
+    "analysis_call_graph": Query("datalog", analyses.CALL_GRAPH + "q(a, b) :- depends(f, g), functions(f, a, _), functions(g, b, _).", _values("a, b", ("bar", "baz"), ("foo", "bar"), ("foo", "baz"), ("main", "foo"), ("main", "bar"), ("main", "baz")), setup=_C),
+    "analysis_outside_calls": Query("datalog", analyses.CALL_GRAPH + "q(f, t) :- outside(k, t), functions(k, f, _).", _values("f, t", ("main", "gets"), ("main", "fp")), setup=_C),
+    "analysis_data_flow": Query("datalog", analyses.DATA_FLOW + "q(f, a, b) :- flow(k, a, b), functions(k, f, _).", _values("f, a, b", ("foo", "n", "y"), ("foo", "y", "z"), ("foo", "n", "z"), ("main", "foo", "fp")), setup=_C),
+    "analysis_points_to": Query("datalog", analyses.POINTS_TO + "q(f, v, t) :- points(k, v, g), functions(k, f, _), functions(g, t, _).", _values("f, v, t", ("main", "fp", "foo")), setup=_C),
+    "analysis_unused": Query("datalog", analyses.UNUSED_PARAMETERS + "q(f, p) :- unused(k, p), functions(k, f, _).", _values("f, p", ("bar", "spare")), setup=_C),
+    "analysis_metrics": Query("datalog", analyses.METRICS + "q(f, n, o) :- parameters(k, n), fan_out(k, o), functions(k, f, _).", _values("f, n, o", ("baz", 1, 0), ("bar", 2, 1), ("foo", 1, 2), ("main", 0, 2)), setup=_C),
     "analysis_dangerous": Query("ql", analyses.DANGEROUS, _values("target, caller", ("gets", "main")), setup=_C),
-    "models_summary": Query("ql", 'from string n, string i, string o where summaryModel("java.lang", "String", true, n, _, i, o, "taint", _) select n, i, o', _values("n, i, o", ("concat", "Argument[this]", "ReturnValue")), setup=_models),
+    "models_summary": Query("ql", 'from string n, string i, string o where summaryModel("zoo.food", "Bowl", true, n, _, i, o, "taint", _) select n, i, o', _values("n, i, o", ("pour", "Argument[0]", "Argument[this].Element")), setup=_models),
     "schema_union": Query("ql", "from int k, @place p where p = k select k", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION SELECT r_regionkey FROM region", setup=_places),
     "schema_case": Query("ql", "class American extends @american { string name() { nation(this, result, _) } } from American a select a.name() as n", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1", setup=_places),
 }

@@ -6,11 +6,11 @@ import pytest
 
 from loxis import analyses
 from loxis.operators import relational
-from loxis.session import query_ql
+from loxis.session import query_datalog, query_ql
 from loxis.sinks import results
 from loxis.sources import extract_c, extract_python  # noqa: F401  register their languages
 from loxis.sources.database import Database
-from loxis.sources.extract import count_lines, extract, source_roots
+from loxis.sources.extract import count_lines, extract, facts_of, scheme_of, source_roots, split_facts
 from loxis.sources.models import AccessPath, AccessPathError, ModelError, Step, add_models, parse_access_path, parse_models
 
 
@@ -45,10 +45,16 @@ def call_facts(db, calls, functions, assigns=(), addresses=()):
     return db.add_rows("valuetext", text, "id long, t string").add_rows("enclosingfunction", enclosing, "c long, p long")
 
 
+def named(db, program, relation, *places):
+    """Rows of an analysis with the names of functions for their ids at these places."""
+    name = dict(db.relation("functions").select("c0", "c1").collect())
+    return sorted(tuple(name[x] if k in places else x for k, x in enumerate(r)) for r in rows(analyses.analyse(db, program, relation)))
+
+
 def test_call_graph(spark):
     db = call_facts(Database(spark), [("main", "foo"), ("main", "bar"), ("foo", "bar"), ("foo", "baz"), ("bar", "baz")], ["baz", "bar", "foo", "main"])
-    assert len(rows(analyses.analyse(db, analyses.CALL_GRAPH, "calls"))) == 5 and len(rows(analyses.analyse(db, analyses.CALL_GRAPH, "reaches"))) == 6
-    assert rows(analyses.analyse(db, analyses.CALL_GRAPH, "leaf")) == [("baz",)] and rows(analyses.analyse(db, analyses.CALL_GRAPH, "root")) == [("main",)]
+    assert len(rows(analyses.analyse(db, analyses.CALL_GRAPH, "invokes"))) == 5 and len(rows(analyses.analyse(db, analyses.CALL_GRAPH, "depends"))) == 6
+    assert named(db, analyses.CALL_GRAPH, "leaf", 0) == [("baz",)] and named(db, analyses.CALL_GRAPH, "entry", 0) == [("main",)]
     assert rows(analyses.bind_calls(db).relation("funbind")) == [(100, 3), (110, 2), (120, 2), (130, 1), (140, 1)]
 
 
@@ -56,16 +62,39 @@ def test_points_to(spark):
     copies = [("basic", "fp", "inc"), ("chain", "fp", "inc"), ("chain", "gp", "fp"), ("chain", "hp", "gp"), ("multi", "fp", "inc"), ("multi", "fp", "mul2")]
     db = call_facts(Database(spark), [], ["inc", "mul2", "neg", "basic", "chain", "multi", "address"], copies, [("address", "p", "inc"), ("address", "q", "x")])
     db.add_rows("localvariables", [(1000, "fp", "int")], "id long, n string, t string").add_rows("params", [(1, 0, "n", "int")], "f long, i long, n string, t string")
-    got = set(rows(analyses.analyse(db, analyses.POINTS_TO, "points")))
-    assert got == {("basic", "fp", "inc"), ("chain", "fp", "inc"), ("chain", "gp", "inc"), ("chain", "hp", "inc"), ("multi", "fp", "inc"), ("multi", "fp", "mul2"), ("address", "p", "inc"), ("address", "q", "x")}
+    got = set(named(db, analyses.POINTS_TO, "points", 0, 2))
+    assert got == {("basic", "fp", "inc"), ("chain", "fp", "inc"), ("chain", "gp", "inc"), ("chain", "hp", "inc"), ("multi", "fp", "inc"), ("multi", "fp", "mul2"), ("address", "p", "inc")}
 
 
 def test_data_flow_parameters_and_metrics(spark):
     db = call_facts(Database(spark), [("f", "g")], ["f", "g"], [("f", "b", "a"), ("f", "c", "b")])
     db.add_rows("localvariables", [(1000, "z", "int")], "id long, n string, t string").add_rows("params", [(1, 0, "a", "int"), (1, 1, "unused", "int")], "f long, i long, n string, t string").add_rows("stmts", [(5, 1, 0)])
-    assert set(rows(analyses.analyse(db, analyses.DATA_FLOW, "flow"))) == {("f", "a", "b"), ("f", "b", "c"), ("f", "a", "c")}
-    assert rows(analyses.analyse(db, analyses.UNUSED_PARAMETERS, "unused")) == [("f", "unused")]
-    assert rows(analyses.analyse(db, analyses.METRICS, "parameters")) == [("f", 2), ("g", 0)]
+    assert set(named(db, analyses.DATA_FLOW, "flow", 0)) == {("f", "a", "b"), ("f", "b", "c"), ("f", "a", "c")}
+    assert named(db, analyses.UNUSED_PARAMETERS, "unused", 0) == [("f", "unused")]
+    assert named(db, analyses.METRICS, "parameters", 0) == [("f", 2), ("g", 0)] and named(db, analyses.METRICS, "fan_in", 0) == [("f", 0), ("g", 1)]
+
+
+TWO_FILES = {
+    "one.c": "static int help(int n) { return n; } int first(int (*cb)(int)) { return cb(1) + help(2) + shared(3); } int go(void) { return first(help); }",
+    "two.c": "static int help(int n, int spare) { int m = n; return m + 1; } int second(void) { return help(1, 2) + help(3, 4); } int shared(int k) { return printf(k); }",
+}
+
+
+def test_functions_of_equal_names_in_two_files(spark):
+    """A call means the function of its own file; nothing of one flows into the other."""
+    files = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in TWO_FILES.items()], "path string, content binary")
+    db = split_facts(spark, facts_of(files, "", ("c",)).persist(), scheme_of(("c",)))
+    where = dict(rows(query_datalog(db, analyses.CALL_GRAPH + "q(f, p) :- functions(f, _, _), home(f, u), files(u, p).", "q")))
+    name = {r[0]: f"{r[1]}@{where[r[0]]}" for r in db.relation("functions").collect()}
+    told = lambda program, relation, *at: {tuple(name[x] if k in at else x for k, x in enumerate(r)) for r in rows(analyses.analyse(db, program, relation))}
+    assert told(analyses.CALL_GRAPH, "invokes", 0, 1) == {("first@one.c", "help@one.c"), ("first@one.c", "shared@two.c"), ("go@one.c", "first@one.c"), ("second@two.c", "help@two.c")}
+    assert told(analyses.CALL_GRAPH, "outside", 0) == {("first@one.c", "cb"), ("shared@two.c", "printf")}
+    assert told(analyses.CALL_GRAPH, "leaf", 0) == {("help@one.c",), ("help@two.c",)}
+    assert told(analyses.POINTS_TO, "points", 0, 2) == {("first@one.c", "cb", "help@one.c")}
+    assert told(analyses.DATA_FLOW, "flow", 0) == {("help@two.c", "n", "m")}
+    assert told(analyses.UNUSED_PARAMETERS, "unused", 0) == {("help@two.c", "spare")}
+    assert {r[1] for r in told(analyses.METRICS, "fan_in", 0) if r[0].startswith("help")} == {1}
+    assert len(rows(analyses.bind_calls(db).relation("funbind"))) == 5
 
 
 def test_dangerous_calls(spark):
@@ -245,9 +274,9 @@ def test_c_facts(spark, tmp_path):
     kinds = [k for (k,) in get("stmts", 1)]
     assert all(kinds.count(k) == n for k, n in ((2, 2), (3, 1), (6, 5), (8, 1), (9, 1), (10, 2), (11, 1), (28, 1)))
     assert len(get("iscall", 0)) == 6 and len(get("if_else", 0)) == 1 and len(get("comments", 1)) == 1
-    assert rows(analyses.analyse(db, analyses.UNUSED_PARAMETERS, "unused")) == [("unused_param", "b")]
-    assert set(rows(analyses.analyse(db, analyses.CALL_GRAPH, "calls"))) == {("after", "gets"), ("main", "gp"), ("main", "printf"), ("main", "run"), ("run", "f")}
-    points = set(rows(analyses.analyse(db, analyses.POINTS_TO, "points")))
+    assert named(db, analyses.UNUSED_PARAMETERS, "unused", 0) == [("unused_param", "b")]
+    assert named(db, analyses.CALL_GRAPH, "invokes", 0, 1) == [("main", "run")] and named(db, analyses.CALL_GRAPH, "outside", 0) == [("after", "gets"), ("main", "gp"), ("main", "printf"), ("run", "f")]
+    points = set(named(db, analyses.POINTS_TO, "points", 0, 2))
     assert {("main", "fp", "inc"), ("main", "fp", "mul2"), ("main", "gp", "inc"), ("main", "gp", "mul2"), ("run", "f", "inc"), ("run", "f", "mul2")} <= points
     assert rows(query_ql(db, analyses.DANGEROUS)) == [("gets", "after")]
 
