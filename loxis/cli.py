@@ -19,7 +19,7 @@ from .plans.engine import Engine
 from .plans.ir import LogicError
 from .session import query_all_ql
 from .sinks import results
-from .sources import extract_c, extract_java, extract_python  # noqa: F401  register their languages
+from .sources import extract_c, extract_java, extract_js, extract_python  # noqa: F401  register their languages
 from .sources.database import Database
 from .sources.extract import extract
 

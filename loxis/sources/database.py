@@ -66,6 +66,15 @@ class Database:
             out += [(k,) for k, c in enumerate(t.columns) if c.unique] + [tuple(names.index(c) for c in k) for k in t.keysets]
         return [*out, tuple(range(len(self._relations[name].columns)))]
 
+    def checked(self) -> Database:
+        """Raise ValueError if two rows of a relation share what is given as its key: plans leave a distinct out for a key."""
+        for name in self._unique & set(self._relations):
+            for key in self.keys(name):
+                again = self._relations[name].groupBy(*(f"c{k}" for k in key)).count().where("count > 1").head(1)
+                if again:
+                    raise ValueError(f"{name}: columns {', '.join(self._columns[name][k] for k in key)} are no key: {tuple(again[0])[:-1]} comes {again[0]['count']} times")
+        return self
+
     def relation(self, name: str) -> DataFrame | None:
         """None if there is none: an undefined relation is empty."""
         if name in self._relations:

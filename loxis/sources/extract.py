@@ -22,7 +22,7 @@ Facts = Iterator[tuple[str, tuple]]
 EXTRACTORS: dict[str, tuple[tuple[str, ...], str, Callable[[str, str], Facts]]] = {}
 #: What begins a comment that takes the rest of its line, and what encloses one.
 COMMENTS = {"python": ("#", None), "ruby": ("#", None), "c": ("//", ("/*", "*/")), "cpp": ("//", ("/*", "*/")), "java": ("//", ("/*", "*/")), "csharp": ("//", ("/*", "*/")), "go": ("//", ("/*", "*/")), "javascript": ("//", ("/*", "*/")), "rust": ("//", ("/*", "*/")), "swift": ("//", ("/*", "*/"))}
-EXTENSIONS = {"python": (".py",), "ruby": (".rb",), "c": (".c", ".h"), "cpp": (".cpp", ".cc", ".cxx", ".hpp"), "java": (".java",), "csharp": (".cs",), "go": (".go",), "javascript": (".js", ".jsx", ".ts", ".tsx"), "rust": (".rs",), "swift": (".swift",)}
+EXTENSIONS = {"python": (".py",), "ruby": (".rb",), "c": (".c", ".h"), "cpp": (".cpp", ".cc", ".cxx", ".hpp"), "java": (".java",), "csharp": (".cs",), "go": (".go",), "javascript": (".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"), "rust": (".rs",), "swift": (".swift",)}
 COMMON = """
 files(unique int id: @file, string name: string ref);
 folders(unique int id: @folder, string name: string ref);

@@ -1,7 +1,8 @@
 """Facts of Java sources, by a parser of its own: types, members, statements and expressions of the language's core.
 
-Generic arguments and annotations are read over. A member that the parser doesn't know is skipped up to its
-end. Ids are hashes of the file's path and of a serial number in it.
+Arguments of generic types are read over; type parameters, annotations and what the compiler adds (default
+constructors, members of enums) are told. A member that the parser doesn't know is skipped up to its end. Ids are
+hashes of the file's path and of a serial number in it.
 """
 
 from __future__ import annotations
@@ -43,6 +44,13 @@ exprs(unique int id: @expr, int kind: int ref, string typeName: string ref, int
 callableEnclosingExpr(unique int id: @expr ref, int callable_id: @callable ref);
 declaresMember(int parentid: @classorinterface ref, int memberid: @member ref);
 namestrings(string name: string ref, string value: string ref, int parent: @element ref);
+isDefConstr(unique int id: @constructor ref);
+annotations(unique int id: @annotation, int parentid: @element ref, string typeName: string ref);
+#keyset[parentid,pos]
+typeVars(unique int id: @typevariable, string nodeName: string ref, int pos: int ref, int parentid: @element ref);
+#keyset[parentid,pos]
+typeBounds(unique int id: @typebound, string typeName: string ref, int pos: int ref, int parentid: @typevariable ref);
+compiler_generated(unique int id: @element ref, int kind: int ref);
 @callable = @method | @constructor;
 @variable = @field | @localvar | @param;
 @member = @field | @method | @constructor;
@@ -81,6 +89,7 @@ class _Unit:
         self.serial: Counter[str] = Counter()
         self.at, self.callable, self.package, self.supers = 0, 0, "", []
         self.names: dict[str, int] = {}
+        self.constructed: set[int] = set()
 
     def new(self, kind: str) -> int:
         self.serial[kind] += 1
@@ -165,11 +174,12 @@ class _Unit:
         return "".join(out)
 
     def notes(self) -> list[str]:
+        """Modifiers and, with their sign, annotations."""
         out = []
         while True:
             if self.peek() == "@" and self.peek(1) != "interface":
                 self.take()
-                self.type()
+                out.append(f"@{self.type()}")
                 if self.peek() == "(":
                     self.group()
             elif self.peek() in MODIFIERS and not (self.peek() == "default" and self.peek(1) in (":", "->")):
@@ -181,9 +191,42 @@ class _Unit:
 
     def modified(self, own: int, notes: list[str]) -> None:
         for n in notes:
+            if n.startswith("@"):
+                self.add("annotations", self.new("annotation"), own, n[1:])
+                continue
             self.add("modifiers", entity("modifier", n), n)
             self.add("hasModifier", own, entity("modifier", n))
 
+    def type_parameters(self) -> list[tuple[str, list[str]]]:
+        """Names with their bounds; none if no angle bracket stands here."""
+        end, out = self.at + self.angles(), []
+        if self.skip("<"):
+            while self.at < end - 1:
+                self.notes()
+                out.append((self.name(), []))
+                while self.peek() in ("extends", "&"):
+                    self.take()
+                    out[-1][1].append(self.type())
+                self.skip(",")
+            self.at = end
+        return out
+
+    def generic(self, own: int, parameters: list[tuple[str, list[str]]]) -> None:
+        for k, (name, bounds) in enumerate(parameters):
+            v = self.new("typevariable")
+            self.add("typeVars", v, name, k, own)
+            for j, t in enumerate(bounds):
+                self.add("typeBounds", self.new("typebound"), t, j, v)
+
+    def generated(self, relation: str, own: int, name: str, types: str, kind: str, notes: list[str]) -> int:
+        """A member that the compiler adds."""
+        m = self.new("callable")
+        self.add(relation, m, name, f"{name}({types})", kind, own, m)
+        self.add("declaresMember", own, m)
+        self.add("compiler_generated", m, 1)
+        self.modified(m, notes)
+        return m
+
     # Declarations
 
     def facts(self) -> Facts:
@@ -237,10 +280,10 @@ class _Unit:
             self.add("enclInReftype", own, outer)
         if word != "class":
             self.add({"interface": "isInterface", "enum": "isEnumType", "record": "isRecord"}[word], own)
-        self.at += self.angles()
+        self.generic(own, self.type_parameters())
         if word == "record":
-            for t, n in self.parameters():
-                self.field(own, n, t, ["private", "final"])
+            for t, n, more in self.parameters():
+                self.field(own, n, t, ["private", "final", *more])
         while self.peek() in ("extends", "implements", "permits"):
             clause = self.take()
             while True:
@@ -252,8 +295,8 @@ class _Unit:
         self.take("{")
         if word == "enum":
             while self.kind() == "name" or self.peek() == "@":
-                self.notes()
-                f = self.field(own, self.name(), name, ["public", "static", "final"])
+                more = self.notes()
+                f = self.field(own, self.name(), name, ["public", "static", "final", *more])
                 self.add("isEnumConst", f)
                 for opening in ("(", "{"):
                     if self.peek() == opening:
@@ -272,6 +315,12 @@ class _Unit:
                 self.recover()
             if self.at == before:
                 self.at += 1
+        if word == "enum":
+            self.generated("methods", own, "values", "", f"{name}[]", ["public", "static"])
+            self.generated("methods", own, "valueOf", "String", name, ["public", "static"])
+            self.generated("constrs", own, name, "String, int", name, ["private"])
+        elif word == "class" and own not in self.constructed:
+            self.add("isDefConstr", self.generated("constrs", own, name, "", name, ["public"]))
 
     def field(self, own: int, name: str, kind: str, notes: list[str]) -> int:
         f = self.new("field")
@@ -290,14 +339,15 @@ class _Unit:
         if self.peek() in ("class", "interface", "enum") or self.peek() == "@" or (self.peek() == "record" and self.kind(1) == "name" and self.peek(2) in ("(", "<")):
             self.class_like(notes, own)
             return
-        self.at += self.angles()
+        variables = self.type_parameters()
         if self.peek() == name and self.peek(1) == "(":
             self.take()
-            self.method(own, name, None, notes)
+            self.constructed.add(own)
+            self.method(own, name, None, notes, variables)
             return
         kind, label = self.type(), self.name()
         if self.peek() == "(":
-            self.method(own, label, kind, notes)
+            self.method(own, label, kind, notes, variables)
             return
         while True:
             f = self.field(own, label, kind, notes)
@@ -310,28 +360,31 @@ class _Unit:
             label = self.name()
         self.take(";")
 
-    def parameters(self) -> list[tuple[str, str]]:
+    def parameters(self) -> list[tuple[str, str, list[str]]]:
+        """Types, names, and modifiers and annotations."""
         out = []
         self.take("(")
         while not self.skip(")"):
-            self.notes()
+            notes = self.notes()
             t = self.type()
             if self.skip("..."):
                 t += "..."
-            out.append((t, self.name()))
+            out.append((t, self.name(), notes))
             while self.skip("["):
                 self.take("]")
             self.skip(",")
         return out
 
-    def method(self, own: int, name: str, result: str | None, notes: list[str]) -> None:
+    def method(self, own: int, name: str, result: str | None, notes: list[str], variables: list[tuple[str, list[str]]]) -> None:
         m, params = self.new("callable"), self.parameters()
-        signature = f"({', '.join(t for t, _ in params)})"
-        self.add("constrs" if result is None else "methods", m, name, signature, result or "void", own, m)
+        signature = f"{name}({', '.join(t for t, *_ in params)})"
+        self.add("constrs" if result is None else "methods", m, name, signature, result or name, own, m)
+        self.generic(m, variables)
         self.add("declaresMember", own, m)
         self.modified(m, notes)
-        for k, (t, n) in enumerate(params):
+        for k, (t, n, more) in enumerate(params):
             p = self.new("param")
+            self.modified(p, [x for x in more if x[0] == "@"])
             self.add("params", p, t, k, m, p)
             self.add("paramName", p, n)
             if t.endswith("..."):

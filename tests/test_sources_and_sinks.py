@@ -160,13 +160,13 @@ MODELS = """
 extensions:
   - addsTo: {pack: p, extensible: sourceModel}
     data:
-      - ["java.net", "Socket", false, "getInputStream", "()", "", "ReturnValue", "remote", "manual"]
+      - ["zoo.gate", "Door", false, "letIn", "(Cart)", "", "ReturnValue", "visitor", "manual"]
   - addsTo: {pack: p, extensible: summaryModel}
     data:
-      - ["java.lang", "String", true, "concat", "(String)", "", "Argument[0]", "ReturnValue", "taint", "manual"]
+      - ["zoo.food", "Bowl", true, "pour", "(Bowl,int)", "", "Argument[0]", "Argument[this].Element", "taint", "manual"]
   - addsTo: {pack: p, extensible: neutralModel}
     data:
-      - ["java.lang", "Object", "hashCode", "()", "summary", "manual"]
+      - ["zoo.food", "Bowl", "weigh", "()", "summary", "manual"]
   - addsTo: {pack: p, extensible: other}
     data: [[1, 2]]
 """
@@ -174,9 +174,9 @@ extensions:
 
 def test_models(spark):
     m = parse_models(MODELS)
-    assert m.by_kind("sourceModel", "remote")[0][5] == "ReturnValue" and m.unknown == {"other": [[1, 2]]} and m.by_callable("summaryModel", "java.lang", "String", "concat")
+    assert m.by_kind("sourceModel", "visitor")[0][5] == "ReturnValue" and m.unknown == {"other": [[1, 2]]} and m.by_callable("summaryModel", "zoo.food", "Bowl", "pour")
     db = add_models(Database(spark), m.merge(m))
-    assert rows(query_ql(db, 'from string t, string n where summaryModel(_, t, true, n, _, _, _, "taint", _) select t, n')) == [("String", "concat")]
+    assert rows(query_ql(db, 'from string t, string n where summaryModel(_, t, true, n, _, _, _, "taint", _) select t, n')) == [("Bowl", "pour")]
     with pytest.raises(ModelError):
         parse_models("extensions: [{addsTo: {extensible: sinkModel}, data: [[1]]}]")
 
@@ -323,7 +323,7 @@ def test_class_files(spark, tmp_path):
     db = extract_classes(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     get = lambda name, *c: sorted(tuple(r[i] for i in c) for r in db.relation(name).collect())
     assert get("classes_or_interfaces", 1) == [("Dog",), ("Puppy",)] and get("packages", 1) == [("p",)]
-    assert get("methods", 1, 2, 3) == [("bark", "(int, long[])", "java.lang.String")] * 2 and get("fields", 1, 2) == [("age", "int")] * 2 and get("constrs", 1) == [("Dog",), ("Puppy",)]
+    assert get("methods", 1, 2, 3) == [("bark", "bark(int, long[])", "java.lang.String")] * 2 and get("fields", 1, 2) == [("age", "int")] * 2 and get("constrs", 1) == [("Dog",), ("Puppy",)]
     program = 'class C extends @classorinterface { C() { classes_or_interfaces(this, _, _, _) } string name() { classes_or_interfaces(this, result, _, _) } C up() { extendsReftype(this, result) } predicate isStatic(string m) { exists(int x, int k | methods(x, m, _, _, this, _) and hasModifier(x, k) and modifiers(k, "static")) } } from C c, string m where c.isStatic(m) select c.up().name(), c.name(), m'
     assert rows(query_ql(db, program)) == [("Dog", "Puppy", "bark")]
 
@@ -351,6 +351,100 @@ class Broken { int f( { } void after() { bark(2); } }
 '''
 
 
+JS_SOURCE = r"""
+import def, { one as two, three } from './lib.js';
+import * as all from "pkg";
+// a comment
+const x = 1, { a, b: [c, ...d], e = 5 } = load(`n${x + 1}t`), re = /a[/]b+/gi;
+export default class Dog extends Animal {
+  #age = 3;
+  static make(n, m = 2) { return new Dog(n, ...m); }
+  get age() { return this.#age; }
+  async run(x) { for (const k of x) { await k?.go(x => x * 2); } }
+}
+export function walk(tree, fn) {
+  if (!tree) return null; else fn(tree);
+  for (let i = 0; i < 10; i++) { continue; }
+  for (var q in tree) delete tree[q];
+  switch (typeof tree) { case "a": break; default: throw new Error("x") }
+  try { walk(tree.left, fn) } catch (err) { log(err) } finally { }
+  do { x++ } while (x ** 2 > 3 || x === 4)
+  const f = async function* named() { yield 1 }
+  label: while (true) break label
+  return tree.a ? { k: 1, x, m() { return 2 }, ...tree } : [1, , 2]
+}
+broken ( ;
+after(1)
+"""
+TS_SOURCE = r"""
+interface P<T> extends Q { a: T; m(): void }
+enum Color { Red, Green }
+type Alias = { a: number } | Map<string, P<number>>;
+@Injectable() export class S<T> { private x: number = 1; constructor(private readonly y: Map<string, T[]>, z?: string) {} get<K extends T>(k: K): K[] | undefined { return (k as any)!.list<string>(k) as K[]; } }
+const f = (a: number, b?: string): boolean => a < 3;
+let g: (x: number) => void = (x) => { };
+declare function ext(n: number): string;
+export abstract class A { abstract go(): void; }
+"""
+
+
+def test_javascript_facts():
+    from loxis.sources.extract_js import extract_js
+
+    out = list(extract_js("a.js", JS_SOURCE))
+    get = lambda name, *c: [tuple(r[i] for i in c) if len(c) > 1 else r[c[0]] for n, r in out if n == name]
+    assert get("functions", 1) == ["make", "age", "run", "", "walk", "named", "m"] and get("classes", 1) == ["Dog"]
+    assert get("imports", 2, 3) == [("def, one, three", "./lib.js"), ("* as all", "pkg")] and len(get("exports", 0)) == 2 and get("toplevels", 1) == [1]
+    assert get("variables", 1) == ["x", "a", "c", "d", "e", "re", "Dog", "n", "m", "x", "k", "x", "walk", "tree", "fn", "i", "q", "err", "f"]
+    kinds = get("stmts", 1)
+    assert all(kinds.count(k) == n for k, n in ((3, 1), (8, 1), (19, 2), (11, 1), (13, 1), (14, 1), (15, 1), (21, 1), (4, 1), (29, 1), (30, 1)))
+    assert {"after", "/a[/]b+/gi", "go"} <= set(get("literals", 0)) and get("comments", 3) == ["// a comment"]
+    ids = [r[0] for n, r in out if n in ("stmts", "exprs", "functions", "classes", "properties", "scopes", "variables")]
+    assert len(set(ids)) == len(ids) and {r[2] for n, r in out if n in ("stmts", "exprs")} <= {*ids, *get("toplevels", 0)}
+    places = {r[0]: r[2:] for n, r in out if n == "locations_default"}
+    where = dict(r for n, r in out if n == "hasLocation")
+    name = {r[1]: r[0] for n, r in out if n == "functions"}
+    assert places[where[name["walk"]]] == (12, 8, 22, 1)
+
+
+def test_typescript_facts():
+    from loxis.sources.extract_js import extract_js
+
+    out = list(extract_js("a.ts", TS_SOURCE))
+    get = lambda name, c: [r[c] for n, r in out if n == name]
+    assert get("interfaces", 1) == ["P"] and get("enums", 1) == ["Color"] and get("type_aliases", 1) == ["Alias"] and get("decorators", 1) == ["Injectable"]
+    assert get("functions", 1) == ["constructor", "get", "", "", "ext", "go"] and get("classes", 1) == ["S", "A"]
+    assert get("type_annotations", 2) == ["Map<string, T[]>", "string", "K", "K[] | undefined", "number", "string", "boolean", "(x: number) => void", "number", "string", "void"]
+
+
+GENERIC_SOURCE = """
+package zoo;
+@Deprecated @Kind(value = "pen") public class Pen<A extends Animal & Comparable<A>, B> {
+    @Inject private final List<A> all = null;
+    @Override public <K extends Number, V> Map<K, V> by(@NotNull final K key, V value) { return null; }
+    <X> Pen(X x) { }
+    record Tag(@Id int number, String text) { }
+    enum Size { @Old SMALL, LARGE(2); Size(int n) { } }
+}
+interface Animal { }
+"""
+
+
+def test_generics_annotations_and_generated_members(spark):
+    from loxis.sources import extract_java  # noqa: F401
+
+    files = spark.createDataFrame([("Pen.java", bytearray(GENERIC_SOURCE.encode()))], "path string, content binary")
+    db = split_facts(spark, facts_of(files, "", ("java",)).persist(), scheme_of(("java",)))
+    found = lambda text: rows(query_datalog(db, text, "q"))
+    assert found("q(c, v, p) :- typeVars(_, v, p, k), classes_or_interfaces(k, c, _, _).") == [("Pen", "A", 0), ("Pen", "B", 1)]
+    assert found("q(m, v, t) :- typeVars(x, v, _, k), methods(k, m, _, _, _, _), typeBounds(_, t, _, x).") == [("by", "K", "Number")]
+    assert found("q(v, t, p) :- typeVars(x, v, _, _), typeBounds(_, t, p, x).") == [("A", "Animal", 0), ("A", "Comparable", 1), ("K", "Number", 0)]
+    assert found("q(c, a) :- annotations(_, k, a), classes_or_interfaces(k, c, _, _).") == [("Pen", "Deprecated"), ("Pen", "Kind")]
+    assert found("q(f, a) :- annotations(_, k, a), fields(k, f, _, _).") == [("SMALL", "Old"), ("all", "Inject"), ("number", "Id")]
+    assert found("q(n, a) :- annotations(_, k, a), paramName(k, n).") == [("key", "NotNull")] and found("q(m, a) :- annotations(_, k, a), methods(k, m, _, _, _, _).") == [("by", "Override")]
+    assert found("q(s) :- constrs(k, _, s, _, _, _), not compiler_generated(k, _).") == [("Pen(X)",), ("Size(int)",)] and found("q(k) :- isDefConstr(k).") == []
+
+
 def test_java_facts(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/A.java").write_text(JAVA_SOURCE)
@@ -359,8 +453,11 @@ def test_java_facts(spark, tmp_path):
     db = extract(spark, str(tmp_path / "src"), str(tmp_path / "out"), root=str(tmp_path / "src"), languages=["java"])
     get = lambda name, *c: sorted(tuple(r[i] for i in c) for r in db.relation(name).collect())
     assert get("classes_or_interfaces", 1) == [("Animal",), ("Broken",), ("Color",), ("Dog",), ("Printable",)] and get("packages", 1) == [("p.q",)]
-    assert get("methods", 1, 2, 3) == [("after", "()", "void"), ("bark", "(int)", "void"), ("print", "(int, String...)", "String"), ("run", "(int)", "int")]
-    assert get("fields", 1, 2) == [("GREEN", "Color"), ("MAX", "int"), ("RED", "Color"), ("items", "List")] and get("constrs", 1) == [("Animal",), ("Dog",)]
+    assert get("methods", 1, 2, 3) == [("after", "after()", "void"), ("bark", "bark(int)", "void"), ("print", "print(int, String...)", "String"), ("run", "run(int)", "int"), ("valueOf", "valueOf(String)", "Color"), ("values", "values()", "Color[]")]
+    assert get("constrs", 2, 3) == [("Animal(int)", "Animal"), ("Broken()", "Broken"), ("Color(String, int)", "Color"), ("Dog()", "Dog")]
+    assert len(get("isDefConstr", 0)) == 1 and len(get("compiler_generated", 0)) == 4
+    assert get("typeVars", 1, 2) == [("T", 0)] and get("typeBounds", 1, 2) == [("Comparable", 0)]
+    assert get("fields", 1, 2) == [("GREEN", "Color"), ("MAX", "int"), ("RED", "Color"), ("items", "List")]
     assert get("localvars", 1, 2) == [("e", "IOException|RuntimeException"), ("o", "Object"), ("r", "Runnable"), ("s", "String"), ("y", "int"), ("z", "int")]
     analyses.bind_java(db)
     calls = "class Call extends @expr { Call() { exprs(this, 61, _, _, _) } string name() { namestrings(result, _, this) } } from Call c, int m, string n where callableBinding(c, m) and methods(m, n, _, _, _, _) select c.name(), n"
