@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.database import Database
@@ -14,13 +14,26 @@ from .ir import And, Atom, Compare, Const, Not, Program, Rule, Var, alternatives
 from .stratify import Stratum, stratify
 
 DELTA = "Δ"
+#: Steps of a linear recursion in one job, while no more rows than FEW are new.
+STEPS, FEW = 6, 100_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one if that is unset and the session is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="loxis-")
+    return found.rstrip("/")
 
 
 class Engine:
     """Evaluates programs over a database.
 
     Rounds of a fixpoint are written to the folder in spark.checkpoint.dir, so that plans stay small and a lost
-    executor costs no more than its tasks. Closures of a relation double their paths each round.
+    executor costs no more than its tasks. Closures of a relation double their paths each round. Of a linear
+    recursion with few new rows a round takes STEPS steps in one job.
     """
 
     def __init__(self, db: Database):
@@ -45,8 +58,8 @@ class Engine:
                 parts = [self.compiler.rule(r) for r in stratum.rules] + ([base[name]] if name in base else [])
                 df = unioned(parts)
                 self.derived[name] = df if len(parts) == 1 and self._is_unique(stratum.rules[0]) else df.distinct()
-                if name in program.cached:
-                    self.derived[name] = self.derived[name].persist()
+                if name in program.cached:  # written once: nothing stays in executors' memory, nor is lost with them
+                    self.derived[name] = self._written(self.derived[name])[1]
         return {p: self.derived[p] for p in (outputs if outputs is not None else heads) if p in self.derived}
 
     def _is_unique(self, r: Rule) -> bool:
@@ -84,17 +97,13 @@ class Engine:
 
     def _path(self) -> str:
         if self._folder is None:
-            self._folder = self.spark.conf.get("spark.checkpoint.dir", None)
-            if not self._folder:
-                if not self.spark.conf.get("spark.master", "local").startswith("local["):
-                    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-                self._folder = tempfile.mkdtemp(prefix="loxis-")
-        return f"{self._folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-
-    def _written(self, df: DataFrame) -> tuple[str, DataFrame, int]:
-        """A round is one job: its rows are counted as they are written."""
+            self._folder = shared_folder(self.spark)
+        return f"{self._folder}/round-{uuid.uuid4().hex}"
+
+    def _written(self, df: DataFrame, counted: Column | None = None) -> tuple[str, DataFrame, int]:
+        """A round is one job: its rows, or those counted, are counted as they are written."""
         path, seen = self._path(), Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1) if counted is None else F.when(counted, 1)).alias("n")).write.parquet(path)
         return path, self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
     def _fixpoint(self, stratum: Stratum, base: dict[str, DataFrame]) -> None:
@@ -124,11 +133,13 @@ class Engine:
         doubled = self._doubled(stratum, recursive, start)
         files: dict[str, list[str]] = {p: [] for p in stratum.preds}
         delta: dict[str, DataFrame] = {}
+        new = 0
         for p in stratum.preds:
             df = unioned(first[p]).distinct() if first[p] else self.spark.createDataFrame([], schemas[p])
             path, back, n = self._written(df)
             files[p].append(path)
             schemas[p] = back.schema
+            new += n
             if n:
                 delta[p] = back
         rules = doubled if doubled is not None else recursive
@@ -136,6 +147,7 @@ class Engine:
         for p in {a.pred for p in stratum.preds for r in rules[p] for a, _ in atoms(r.body)} - inside:
             if p in self.derived:
                 self.derived[p] = self._written(self.derived[p])[1]
+        linear = len(stratum.preds) <= 2 and all(sum(a.pred in inside for a, _ in atoms(r.body)) == 1 for p in stratum.preds for r in rules[p])
         rounds = 0
         while delta:
             rounds += 1
@@ -143,13 +155,18 @@ class Engine:
                 self.derived[p] = self.spark.read.schema(schemas[p]).parquet(*files[p])
                 self.derived[DELTA + p] = delta.get(p)
             found: dict[str, tuple[str, DataFrame]] = {}
+            if linear and new <= FEW:
+                delta, new = self._leap(stratum, rules, schemas, delta, files)
+                continue
+            new = 0
             for p in stratum.preds:
                 parts = [self.compiler.rule(v) for r in rules[p] for v in self._variants(r, inside, delta)]
                 if not parts:
                     continue
                 names = [f"c{i}" for i in range(len(schemas[p]))]
-                new = unioned(parts).select(*(F.col(n).cast(schemas[p][n].dataType) for n in names)).distinct()
-                path, back, n = self._written(new.join(self.derived[p], names, "left_anti"))
+                rows = unioned(parts).select(*(F.col(n).cast(schemas[p][n].dataType) for n in names)).distinct()
+                path, back, n = self._written(rows.join(self.derived[p], names, "left_anti"))
+                new += n
                 if n:
                     found[p] = (path, back)
             for p, (path, _) in found.items():
@@ -160,6 +177,37 @@ class Engine:
             self.derived.pop(DELTA + p, None)
             self.rounds[p] = rounds
 
+    def _leap(self, stratum: Stratum, rules: dict[str, list[Rule]], schemas: dict, delta: dict[str, DataFrame], files: dict[str, list[str]]) -> tuple[dict[str, DataFrame], int]:
+        """STEPS steps from the new rows of the last round; what is new at the last step, and its number.
+
+        What a step derives is followed by the next one whether it was known or not, and stored with the first
+        step that derived it, unless it was known before: so only rows of the last step are still to be followed.
+        """
+        inside, made = set(stratum.preds), {p: [] for p in stratum.preds}
+        for step in range(1, STEPS + 1):
+            for p in stratum.preds:
+                self.derived[DELTA + p] = delta.get(p)
+            found = {}
+            for p in stratum.preds:
+                parts = [self.compiler.rule(v) for r in rules[p] for v in self._variants(r, inside, delta)]
+                if parts:
+                    names = [f"c{i}" for i in range(len(schemas[p]))]
+                    found[p] = unioned(parts).select(*(F.col(n).cast(schemas[p][n].dataType) for n in names)).distinct()
+                    made[p].append(found[p].withColumn("step", F.lit(step)))
+            delta = found
+        out, total = {}, 0
+        for p, parts in made.items():
+            if not parts:
+                continue
+            names = [f"c{i}" for i in range(len(schemas[p]))]
+            first = unioned(parts).groupBy(*names).agg(F.min("step").alias("step"))
+            path, back, n = self._written(first.join(self.derived[p], names, "left_anti"), F.col("step") == STEPS)
+            files[p].append(path)
+            total += n
+            if n:
+                out[p] = back.where(F.col("step") == STEPS).select(*names)
+        return out, total
+
     @staticmethod
     def _variants(r: Rule, inside: set[str], delta: dict[str, DataFrame]) -> list[Rule]:
         """Semi-naive: one copy of the rule for each recursive atom, which reads the last round's new rows."""

@@ -4,6 +4,7 @@ import pytest
 
 from loxis.lang.datalog import SyntaxProblem, parse_datalog
 from loxis.lang.ql_syntax import QLError
+from loxis.plans import engine as engine_module
 from loxis.plans.engine import Engine
 from loxis.plans.ir import StratificationError, UnboundVariable
 from loxis.session import query_all_ql, query_datalog, query_ql
@@ -165,6 +166,26 @@ def test_modules_that_do_not_fit(db, text, why):
         query_ql(db, text)
 
 
+def test_a_wrong_key_is_told(spark):
+    rows_ = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, s string")
+    assert Database(spark).add("r", rows_, key=["k", "s"]).checked().names() == ["r"]
+    with pytest.raises(ValueError, match="columns k are no key"):
+        Database(spark).add("r", rows_, key=["k"]).checked()
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_steps_in_one_job_give_the_same_rows(spark, monkeypatch, few):
+    """A chain longer than the steps, a cycle, and two predicates that need each other."""
+    monkeypatch.setattr(engine_module, "FEW", few)
+    db = Database(spark).add_rows("edge", [(k, k + 1) for k in range(1, 20)] + [(20, 15), (30, 31)])
+    assert datalog(db, "q(1). q(y) :- q(x), edge(x, y).") == [(k,) for k in range(1, 21)]
+    both = "even(1). odd(y) :- even(x), edge(x, y). even(y) :- odd(x), edge(x, y). "
+    assert datalog(db, both + "q(x) :- even(x).") == [(k,) for k in range(1, 21, 2)]
+    engine = Engine(db)
+    engine.run(parse_datalog("q(1). q(y) :- q(x), edge(x, y)."), ["q"])
+    assert engine.rounds["q"] == (4 if few else 20)
+
+
 def test_select_order_and_labels(db):
     df = query_ql(db, 'from int x where val(x) select x as "n", -x as m order by m')
     assert df.columns == ["n", "m"] and [r.n for r in df.collect()] == [20, 10, 5, 1]
