@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from .session import query_all_ql, query_datalog, query_ql
 from .sinks import results
 from .sources import extract_c, extract_java, extract_js, extract_python  # noqa: F401  register their languages
 from .sources.database import Database
-from .sources.extract import facts_of, scheme_of, split_facts
+from .sources.extract import facts_of, scheme_of, source_roots, split_facts
 from .sources.models import add_models, parse_access_path, parse_models
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -405,6 +407,16 @@ def _model_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("taint", len(both.by_kind("summaryModel", "taint"))), ("pour", len(both.by_callable("summaryModel", "zoo.food", "Cup", "pour"))), ("none", len(m.by_callable("summaryModel", "zoo.food", "Cup", "pour")))], "what string, n long")
 
 
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source folders of a build of two modules; builds are looked for on the driver's disk."""
+    with tempfile.TemporaryDirectory() as top:
+        for folder in ("a/src/main/java", "b/own"):
+            (Path(top) / folder).mkdir(parents=True)
+        (Path(top) / "a/pom.xml").write_text("<project/>")
+        (Path(top) / "b/build.gradle").write_text('sourceSets { main { java { srcDirs = ["own"] } } }')
+        return spark.createDataFrame([(str(Path(p).relative_to(top)),) for p in source_roots(top)], "root string")
+
+
 def made(make: Callable[[SparkSession, str], DataFrame], sql: str) -> Query:
     return Query("", "", sql, make=make)
 
@@ -417,6 +429,7 @@ QUERIES |= {
     "io_sarif": made(_through_sarif, "SELECT 'x/far' AS rule, 'error' AS level, 'in ' || n_name AS message, n_name AS uri, CAST(n_nationkey + 1 AS BIGINT) AS line FROM nation WHERE n_regionkey = 1"),
     "io_table": made(_through_table, "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS n, CAST(n_regionkey AS VARCHAR) AS r FROM nation"),
     "io_dump": made(_dumped, "SELECT 'low' AS pred, count(*) AS n FROM nation WHERE n_regionkey = 0 UNION SELECT 'pair', count(*) FROM nation a, nation b WHERE a.n_regionkey = 0 AND b.n_regionkey = 0 AND a.n_nationkey < b.n_nationkey"),
+    "io_source_roots": made(_roots, "SELECT * FROM (VALUES ('a/src/main/java'), ('b/own')) AS t(root)"),
     "io_selects": made(_selects, "SELECT count(*) AS n, CAST(1 AS BIGINT) AS columns FROM nation WHERE n_regionkey = 0 UNION ALL SELECT count(*), 1 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT count(*), 2 FROM region"),
     "ql_imports": made(_imported, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS n FROM nation WHERE n_name > 'R'"),
     "rename": made(_renamed, "SELECT r_regionkey AS k, r_name AS n FROM region"),

@@ -328,6 +328,28 @@ def test_class_files(spark, tmp_path):
     assert rows(query_ql(db, program)) == [("Dog", "Puppy", "bark")]
 
 
+def test_archives_of_a_jdk(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    from loxis.sources import extract_classes as classes
+
+    home = tmp_path / "jdk"
+    (home / "jmods").mkdir(parents=True)
+    for module in ("java.base", "java.logging", "java.sql", "java.xml", "java.desktop"):
+        with zipfile.ZipFile(home / f"jmods/{module}.jmod", "w") as z:
+            z.writestr("classes/p/Dog.class", small_class() if module == "java.base" else small_class(f"{module.replace('.', '/')}/Dog"))
+    monkeypatch.setenv("JAVA_HOME", str(home))
+    assert classes.java_home() == str(home)
+    names = lambda **k: sorted(r[1] for r in classes.extract_jdk(spark, str(tmp_path / f"out{len(k)}"), **k).relation("packages").collect())
+    assert names() == ["java.logging", "java.sql", "java.xml", "p"] and len(classes.jdk_archives(str(home), ["all"])) == 5
+    assert names(modules=["java.desktop"]) == ["java.desktop"]
+    with pytest.raises(FileNotFoundError, match="java.none"):
+        classes.jdk_archives(str(home), ["java.none"])
+    (tmp_path / "old/jre/lib").mkdir(parents=True)
+    (tmp_path / "old/jre/lib/rt.jar").write_bytes(b"")
+    assert classes.jdk_archives(str(tmp_path / "old")) == [str(tmp_path / "old/jre/lib/rt.jar")]
+
+
 JAVA_SOURCE = '''package p.q;
 import java.util.List;
 interface Printable { String print(int n, String... rest) throws Exception; }
