@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.database import Database
 from .compile import Compiler, col, unioned
@@ -16,6 +21,8 @@ from .stratify import Stratum, stratify
 DELTA = "Δ"
 #: Steps of a linear recursion in one job, while no more rows than FEW are new.
 STEPS, FEW = 6, 100_000
+#: Rows that a task of a round is dealt: with more rows a round has more tasks, not larger ones.
+TASK_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +40,8 @@ class Engine:
 
     Rounds of a fixpoint are written to the folder in spark.checkpoint.dir, so that plans stay small and a lost
     executor costs no more than its tasks. Closures of a relation double their paths each round. Of a linear
-    recursion with few new rows a round takes STEPS steps in one job.
+    recursion with few new rows a round takes STEPS steps in one job. Shuffles of a round have a partition for
+    each TASK_ROWS of its rows.
     """
 
     def __init__(self, db: Database):
@@ -106,6 +114,22 @@ class Engine:
         df.observe(seen, F.count(F.lit(1) if counted is None else F.when(counted, 1)).alias("n")).write.parquet(path)
         return path, self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
+    @contextmanager
+    def _dealt(self, rows: float) -> Iterator[None]:
+        """For jobs on so many rows: no more than TASK_ROWS of them a task, however few partitions the session has."""
+        conf, n = self.spark.conf, math.ceil(rows / TASK_ROWS)
+        own = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+        if n <= int(own["spark.sql.shuffle.partitions"]):
+            yield
+            return
+        try:
+            for k, v in zip(own, (str(n), "false")):  # partitions of known size need no gathering
+                conf.set(k, v)
+            yield
+        finally:
+            for k, v in own.items():
+                conf.set(k, v)
+
     def _fixpoint(self, stratum: Stratum, base: dict[str, DataFrame]) -> None:
         inside = set(stratum.preds)
         stratum = Stratum(stratum.preds, [w for r in stratum.rules for w in alternatives(r)], True)
@@ -130,7 +154,7 @@ class Engine:
                     self.derived[p] = self.spark.createDataFrame([], ", ".join(f"c{i} void" for i in range(len(recursive[p][0].args))))
                     schemas[p] = self.derived[p].schema
                 waiting = []
-        doubled = self._doubled(stratum, recursive, start)
+        closure = not any(p in base for p in stratum.preds) and self._is_closure(stratum, recursive, start)
         files: dict[str, list[str]] = {p: [] for p in stratum.preds}
         delta: dict[str, DataFrame] = {}
         new = 0
@@ -142,12 +166,14 @@ class Engine:
             new += n
             if n:
                 delta[p] = back
-        rules = doubled if doubled is not None else recursive
+        if closure:
+            self._closure(stratum.preds[0], files[stratum.preds[0]], schemas[stratum.preds[0]], new)
+            return
         # What the rounds read and do not change is written once, not derived again in each.
-        for p in {a.pred for p in stratum.preds for r in rules[p] for a, _ in atoms(r.body)} - inside:
+        for p in {a.pred for p in stratum.preds for r in recursive[p] for a, _ in atoms(r.body)} - inside:
             if p in self.derived:
                 self.derived[p] = self._written(self.derived[p])[1]
-        linear = len(stratum.preds) <= 2 and all(sum(a.pred in inside for a, _ in atoms(r.body)) == 1 for p in stratum.preds for r in rules[p])
+        linear = len(stratum.preds) <= 2 and all(sum(a.pred in inside for a, _ in atoms(r.body)) == 1 for p in stratum.preds for r in recursive[p])
         rounds = 0
         while delta:
             rounds += 1
@@ -156,11 +182,11 @@ class Engine:
                 self.derived[DELTA + p] = delta.get(p)
             found: dict[str, tuple[str, DataFrame]] = {}
             if linear and new <= FEW:
-                delta, new = self._leap(stratum, rules, schemas, delta, files)
+                delta, new = self._leap(stratum, recursive, schemas, delta, files)
                 continue
             new = 0
             for p in stratum.preds:
-                parts = [self.compiler.rule(v) for r in rules[p] for v in self._variants(r, inside, delta)]
+                parts = [self.compiler.rule(v) for r in recursive[p] for v in self._variants(r, inside, delta)]
                 if not parts:
                     continue
                 names = [f"c{i}" for i in range(len(schemas[p]))]
@@ -177,6 +203,43 @@ class Engine:
             self.derived.pop(DELTA + p, None)
             self.rounds[p] = rounds
 
+    def _closure(self, t: str, files: list[str], schema: StructType, size: int) -> None:
+        """The closure of the relation in files, of so many rows; what is found is added to files.
+
+        Before a round, files hold the pairs whose shortest path has less than 2^k steps, and far those of exactly
+        2^(k-1). Two of far make a pair of 2^k; such a pair and a shorter one, in the right order, any longer one. So
+        a row is derived once for each such middle of its shortest paths, in a tree once, and not for every middle.
+        """
+        names, near, exact = schema.names, "\u2203" + t, DELTA + t
+        x, y, z = Var("x"), Var("y"), Var("z")
+        far = self.spark.read.schema(schema).parquet(*files)
+        begins, ends, nulls = far.agg(*(F.approx_count_distinct(n) for n in names), F.count_if(F.col(names[0]).isNull() | F.col(names[1]).isNull())).first()
+
+        def found(a: str, b: str, *known: DataFrame) -> DataFrame:
+            rows = self.compiler.rule(Rule(t, (x, z), And((Atom(a, (x, y)), Atom(b, (y, z))))))
+            rows = rows.select(*(F.col(n).cast(schema[n].dataType).alias(n) for n in names)).distinct()
+            for old in known:
+                rows = rows.join(old, reduce(Column.__and__, (rows[n].eqNullSafe(old[n]) for n in names)) if nulls else names, "left_anti")
+            return rows
+
+        total, edges, rounds = size, max(begins, ends), 0
+        while size:
+            rounds += 1
+            self.derived[exact], self.derived[near] = far, self.spark.read.schema(schema).parquet(*files)
+            with self._dealt(total + 2 * size):
+                path, far, size = self._written(found(exact, exact, self.derived[near]))
+            if size:
+                self.derived[exact] = far
+                # The side that is joined on its ends has the smaller groups where more rows share a beginning than an end.
+                order = (near, exact) if begins < ends else (exact, near)
+                with self._dealt(total + size + size * total / edges):
+                    longer, _, n = self._written(found(*order, self.derived[near], far))
+                files += [path, longer]
+                total += size + n
+        self.derived.pop(exact, None), self.derived.pop(near, None)
+        self.derived[t] = self.spark.read.schema(schema).parquet(*files)
+        self.rounds[t] = rounds
+
     def _leap(self, stratum: Stratum, rules: dict[str, list[Rule]], schemas: dict, delta: dict[str, DataFrame], files: dict[str, list[str]]) -> tuple[dict[str, DataFrame], int]:
         """STEPS steps from the new rows of the last round; what is new at the last step, and its number.
 
@@ -230,25 +293,25 @@ class Engine:
         return out
 
     @staticmethod
-    def _doubled(stratum: Stratum, recursive: dict[str, list[Rule]], start: dict[str, list[Rule]]) -> dict[str, list[Rule]] | None:
-        """t(x,z) :- t(x,y), e(y,z), with t begun by e alone, as t(x,z) :- t(x,y), t(y,z): half the rounds each time."""
+    def _is_closure(stratum: Stratum, recursive: dict[str, list[Rule]], start: dict[str, list[Rule]]) -> bool:
+        """Whether it is t(x,z) :- t(x,y), e(y,z), with t begun by e alone; also the other way round, or with t twice."""
         if len(stratum.preds) != 1:
-            return None
+            return False
         t = stratum.preds[0]
         if len(recursive[t]) != 1 or len(start[t]) != 1:
-            return None
+            return False
         r, s = recursive[t][0], start[t][0]
         body = r.body.items if isinstance(r.body, And) else (r.body,)
         one = s.body.items[0] if isinstance(s.body, And) and len(s.body.items) == 1 else s.body
         if len(body) != 2 or not all(isinstance(f, Atom) and len(f.args) == 2 for f in body) or not isinstance(one, Atom) or one.args != s.args or len(r.args) != 2:
-            return None
+            return False
         if {f.pred for f in body} - {t, one.pred}:
-            return None
+            return False
         x, z = r.args
         for a, b in (body, body[::-1]):
             if a.args[0] == x and b.args[1] == z and a.args[1] == b.args[0] and len({x, z, a.args[1]}) == 3 and all(isinstance(v, Var) and v.name != "_" for v in (x, z, a.args[1])):
-                return {t: [Rule(t, r.args, And((Atom(t, a.args), Atom(t, b.args))))]}
-        return None
+                return True
+        return False
 
 
 def column_order(df: DataFrame, order: list[tuple[int, bool]]) -> DataFrame:

@@ -74,6 +74,54 @@ def test_rounds_halve_for_closures(spark):
     assert out.count() == 32 * 33 // 2 and engine.rounds["p"] <= 7
 
 
+def closure_of(edges):
+    out = set(edges)
+    while more := {(x, z) for x, y in out for v, z in edges if y == v and y is not None} - out:
+        out |= more
+    return out
+
+
+CLOSURE = "p(x,y) :- edge(x,y). p(x,z) :- p(x,y), edge(y,z)."
+TREE = [(k // 2, k) for k in range(2, 128)]
+
+
+@pytest.mark.parametrize("edges", [TREE, [(b, a) for a, b in TREE], [(k, k + 1) for k in range(20)]], ids=["down", "up", "chain"])
+def test_closures_derive_each_row_once(spark, monkeypatch, edges):
+    """Where paths are single, rows that are derived before they are made distinct are no more than the closure has."""
+    engine, derived = Engine(Database(spark).add_rows("edge", edges)), []
+    rule = engine.compiler.rule
+    monkeypatch.setattr(engine.compiler, "rule", lambda r: derived.append(rule(r)) or derived[-1])
+    out = {tuple(r) for r in engine.run(parse_datalog(CLOSURE), ["p"])["p"].collect()}
+    assert out == closure_of(edges) and sum(df.count() for df in derived) == len(out)
+
+
+def test_rounds_have_tasks_by_their_rows(spark, monkeypatch):
+    """Many rows make more partitions, while the round runs only."""
+    monkeypatch.setattr(engine_module, "TASK_ROWS", 50)
+    engine, seen = Engine(Database(spark).add_rows("edge", TREE)), []
+    written = engine._written
+    monkeypatch.setattr(engine, "_written", lambda *a: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or written(*a))
+    own = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    out = engine.run(parse_datalog(CLOSURE), ["p"])["p"].collect()
+    assert len(out) == len(closure_of(TREE)) and max(seen) >= len(out) // 50 > int(own[0])
+    assert own == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))
+
+
+@pytest.mark.parametrize("step", ["p(x,y), edge(y,z)", "edge(x,y), p(y,z)", "p(x,y), p(y,z)"])
+def test_closures_of_graphs(spark, step):
+    """Loops, several paths of equal and of unequal length, and ends that are null."""
+    edges = [(1, 1), (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (2, 5), (5, 6), (6, 4), (7, 8), (1, None), (None, 3), (9, 9)]
+    db = Database(spark).add("edge", spark.createDataFrame(edges, "a long, b long"))
+    out = query_datalog(db, f"p(x,y) :- edge(x,y). p(x,z) :- {step}.", "p").collect()
+    assert len(out) == len(set(out)) and {tuple(r) for r in out} == closure_of(edges)
+
+
+def test_closures_that_begin_with_facts_too(spark):
+    """Facts of p are beginnings only: p(5,0) does not lengthen another path."""
+    db = Database(spark).add_rows("edge", [(1, 2), (2, 3)]).add_rows("p", [(0, 1), (5, 0)])
+    assert datalog(db, CLOSURE, "p") == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (5, 0)]
+
+
 def test_errors(db):
     with pytest.raises(StratificationError):
         datalog(db, "q(x) :- val(x), not p(x). p(x) :- val(x), not q(x).")
