@@ -41,7 +41,7 @@ class Engine:
     Rounds of a fixpoint are written to the folder in spark.checkpoint.dir, so that plans stay small and a lost
     executor costs no more than its tasks. Closures of a relation double their paths each round. Of a linear
     recursion with few new rows a round takes STEPS steps in one job. Shuffles of a round have a partition for
-    each TASK_ROWS of its rows.
+    each TASK_ROWS of its rows; so have those of a predicate that joins or unites so many, which is written then.
     """
 
     def __init__(self, db: Database):
@@ -49,6 +49,8 @@ class Engine:
         self.derived: dict[str, DataFrame] = {}
         self.compiler = Compiler(db, self.lookup)
         self.rounds: dict[str, int] = {}
+        #: Rows of recursive predicates, and of what is made of them alone the sum of theirs.
+        self.sizes: dict[str, int] = {}
         self._folder: str | None = None
 
     def lookup(self, pred: str) -> DataFrame | None:
@@ -65,9 +67,14 @@ class Engine:
                 name = stratum.preds[0]
                 parts = [self.compiler.rule(r) for r in stratum.rules] + ([base[name]] if name in base else [])
                 df = unioned(parts)
-                self.derived[name] = df if len(parts) == 1 and self._is_unique(stratum.rules[0]) else df.distinct()
-                if name in program.cached:  # written once: nothing stays in executors' memory, nor is lost with them
-                    self.derived[name] = self._written(self.derived[name])[1]
+                self.sizes[name] = size = sum(self.sizes.get(a.pred, 0) for r in stratum.rules for a, _ in atoms(r.body))
+                unique = len(parts) == 1 and self._is_unique(stratum.rules[0])
+                self.derived[name] = df if unique else df.distinct()
+                shuffled = not unique or sum(1 for _ in atoms(stratum.rules[0].body)) > 1
+                if name in program.cached or shuffled and self._partitions(size):  # written once: nothing stays in executors' memory, nor is lost with them
+                    with self._dealt(size):
+                        _, self.derived[name], n = self._written(self.derived[name])
+                    self.sizes[name] = n if size else 0
         return {p: self.derived[p] for p in (outputs if outputs is not None else heads) if p in self.derived}
 
     def _is_unique(self, r: Rule) -> bool:
@@ -108,22 +115,27 @@ class Engine:
             self._folder = shared_folder(self.spark)
         return f"{self._folder}/round-{uuid.uuid4().hex}"
 
-    def _written(self, df: DataFrame, counted: Column | None = None) -> tuple[str, DataFrame, int]:
-        """A round is one job: its rows, or those counted, are counted as they are written."""
+    def _written(self, df: DataFrame, *counted: Column) -> tuple:
+        """A round is one job: its rows, and those that are to be counted, are counted as they are written."""
         path, seen = self._path(), Observation()
-        df.observe(seen, F.count(F.lit(1) if counted is None else F.when(counted, 1)).alias("n")).write.parquet(path)
-        return path, self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
+        df.observe(seen, F.count(F.lit(1)).alias("n0"), *(F.count_if(c).alias(f"n{k}") for k, c in enumerate(counted, 1))).write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path), *(seen.get[f"n{k}"] for k in range(len(counted) + 1))
+
+    def _partitions(self, rows: float) -> int:
+        """Partitions of a shuffle of so many rows; 0 for what few tasks do, which is left to the session."""
+        n, own = math.ceil(rows / TASK_ROWS), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(n, own) if n > min(own, self.spark.sparkContext.defaultParallelism) else 0
 
     @contextmanager
     def _dealt(self, rows: float) -> Iterator[None]:
         """For jobs on so many rows: no more than TASK_ROWS of them a task, however few partitions the session has."""
-        conf, n = self.spark.conf, math.ceil(rows / TASK_ROWS)
-        own = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-        if n <= int(own["spark.sql.shuffle.partitions"]):
+        conf, n = self.spark.conf, self._partitions(rows)
+        if not n:
             yield
             return
+        own = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
         try:
-            for k, v in zip(own, (str(n), "false")):  # partitions of known size need no gathering
+            for k, v in zip(own, (str(n), "false")):  # gathered by bytes, which are few a row, they would be large again
                 conf.set(k, v)
             yield
         finally:
@@ -159,7 +171,9 @@ class Engine:
         delta: dict[str, DataFrame] = {}
         new = 0
         for p in stratum.preds:
-            df = unioned(first[p]).distinct() if first[p] else self.spark.createDataFrame([], schemas[p])
+            df = unioned(first[p]) if first[p] else self.spark.createDataFrame([], schemas[p])
+            if len(first[p]) > 1 or not (start[p] and self._is_unique(start[p][0])):
+                df = df.distinct()
             path, back, n = self._written(df)
             files[p].append(path)
             schemas[p] = back.schema
@@ -174,7 +188,7 @@ class Engine:
             if p in self.derived:
                 self.derived[p] = self._written(self.derived[p])[1]
         linear = len(stratum.preds) <= 2 and all(sum(a.pred in inside for a, _ in atoms(r.body)) == 1 for p in stratum.preds for r in recursive[p])
-        rounds = 0
+        rounds, total = 0, new
         while delta:
             rounds += 1
             for p in stratum.preds:
@@ -182,26 +196,30 @@ class Engine:
                 self.derived[DELTA + p] = delta.get(p)
             found: dict[str, tuple[str, DataFrame]] = {}
             if linear and new <= FEW:
-                delta, new = self._leap(stratum, recursive, schemas, delta, files)
+                with self._dealt(total):
+                    delta, new, more = self._leap(stratum, recursive, schemas, delta, files)
+                total += more
                 continue
-            new = 0
+            before, new = new, 0
             for p in stratum.preds:
                 parts = [self.compiler.rule(v) for r in recursive[p] for v in self._variants(r, inside, delta)]
                 if not parts:
                     continue
                 names = [f"c{i}" for i in range(len(schemas[p]))]
                 rows = unioned(parts).select(*(F.col(n).cast(schemas[p][n].dataType) for n in names)).distinct()
-                path, back, n = self._written(rows.join(self.derived[p], names, "left_anti"))
+                with self._dealt(total + before):
+                    path, back, n = self._written(rows.join(self.derived[p], names, "left_anti"))
                 new += n
                 if n:
                     found[p] = (path, back)
             for p, (path, _) in found.items():
                 files[p].append(path)
+            total += new
             delta = {p: back for p, (_, back) in found.items()}
         for p in stratum.preds:
             self.derived[p] = self.spark.read.schema(schemas[p]).parquet(*files[p])
             self.derived.pop(DELTA + p, None)
-            self.rounds[p] = rounds
+            self.rounds[p], self.sizes[p] = rounds, total
 
     def _closure(self, t: str, files: list[str], schema: StructType, size: int) -> None:
         """The closure of the relation in files, of so many rows; what is found is added to files.
@@ -238,10 +256,10 @@ class Engine:
                 total += size + n
         self.derived.pop(exact, None), self.derived.pop(near, None)
         self.derived[t] = self.spark.read.schema(schema).parquet(*files)
-        self.rounds[t] = rounds
+        self.rounds[t], self.sizes[t] = rounds, total
 
-    def _leap(self, stratum: Stratum, rules: dict[str, list[Rule]], schemas: dict, delta: dict[str, DataFrame], files: dict[str, list[str]]) -> tuple[dict[str, DataFrame], int]:
-        """STEPS steps from the new rows of the last round; what is new at the last step, and its number.
+    def _leap(self, stratum: Stratum, rules: dict[str, list[Rule]], schemas: dict, delta: dict[str, DataFrame], files: dict[str, list[str]]) -> tuple[dict[str, DataFrame], int, int]:
+        """STEPS steps from the new rows of the last round; what is new at the last step, its number, and that of all new rows.
 
         What a step derives is followed by the next one whether it was known or not, and stored with the first
         step that derived it, unless it was known before: so only rows of the last step are still to be followed.
@@ -258,18 +276,19 @@ class Engine:
                     found[p] = unioned(parts).select(*(F.col(n).cast(schemas[p][n].dataType) for n in names)).distinct()
                     made[p].append(found[p].withColumn("step", F.lit(step)))
             delta = found
-        out, total = {}, 0
+        out, last, total = {}, 0, 0
         for p, parts in made.items():
             if not parts:
                 continue
             names = [f"c{i}" for i in range(len(schemas[p]))]
             first = unioned(parts).groupBy(*names).agg(F.min("step").alias("step"))
-            path, back, n = self._written(first.join(self.derived[p], names, "left_anti"), F.col("step") == STEPS)
+            path, back, rows, n = self._written(first.join(self.derived[p], names, "left_anti"), F.col("step") == STEPS)
             files[p].append(path)
-            total += n
+            last += n
+            total += rows
             if n:
                 out[p] = back.where(F.col("step") == STEPS).select(*names)
-        return out, total
+        return out, last, total
 
     @staticmethod
     def _variants(r: Rule, inside: set[str], delta: dict[str, DataFrame]) -> list[Rule]:

@@ -107,6 +107,28 @@ def test_rounds_have_tasks_by_their_rows(spark, monkeypatch):
     assert own == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"))
 
 
+def test_what_is_made_of_many_rows_is_dealt_too(spark, monkeypatch):
+    """A join with many rows of a recursion is written in partitions by their number; few rows and mere filters stay lazy."""
+    db, text = Database(spark).add_rows("edge", TREE), f"{CLOSURE} q(x,y) :- p(x,y), not edge(_,x). r(x,y) :- p(x,y), y > 9."
+    for rows_, read in ((50, {"q"}), (engine_module.TASK_ROWS, set())):
+        monkeypatch.setattr(engine_module, "TASK_ROWS", rows_)
+        engine = Engine(db)
+        out = engine.run(parse_datalog(text), ["q", "r"])
+        assert {p for p in out if "AntiJoin" not in (plan := out[p]._jdf.queryExecution().toString()) and "LeftAnti" not in plan} - {"r"} == read
+        assert rows(out["q"]) == sorted((x, y) for x, y in closure_of(TREE) if x == 1) and out["r"].count() == sum(y > 9 for _, y in closure_of(TREE))
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_other_recursions_have_tasks_by_their_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(engine_module, "TASK_ROWS", 10)
+    monkeypatch.setattr(engine_module, "FEW", few)
+    engine, seen = Engine(Database(spark).add_rows("edge", TREE)), []
+    written = engine._written
+    monkeypatch.setattr(engine, "_written", lambda *a: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or written(*a))
+    assert rows(engine.run(parse_datalog("q(1). q(y) :- q(x), edge(x, y)."), ["q"])["q"]) == [(k,) for k in range(1, 128)]
+    assert engine.sizes["q"] == 127 and (few or max(seen) > int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @pytest.mark.parametrize("step", ["p(x,y), edge(y,z)", "edge(x,y), p(y,z)", "p(x,y), p(y,z)"])
 def test_closures_of_graphs(spark, step):
     """Loops, several paths of equal and of unequal length, and ends that are null."""
