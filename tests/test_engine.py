@@ -5,8 +5,9 @@ import pytest
 from loxis.lang.datalog import SyntaxProblem, parse_datalog
 from loxis.lang.ql_syntax import QLError
 from loxis.plans import engine as engine_module
+from loxis.plans.compile import Compiler
 from loxis.plans.engine import Engine
-from loxis.plans.ir import StratificationError, UnboundVariable
+from loxis.plans.ir import StratificationError, UnboundVariable, atoms
 from loxis.session import query_all_ql, query_datalog, query_ql
 from loxis.sources.database import Database
 from loxis.sources.dbscheme import SchemeError, parse_dbscheme
@@ -95,6 +96,22 @@ def test_closures_derive_each_row_once(spark, monkeypatch, edges):
     assert out == closure_of(edges) and sum(df.count() for df in derived) == len(out)
 
 
+def test_closures_of_members_derive_each_row_once(spark, monkeypatch):
+    derived, rule = [], Compiler.rule
+
+    def kept(self, r):
+        df = rule(self, r)
+        if any(a.pred.startswith(engine_module.DELTA) for a, _ in atoms(r.body)):
+            derived.append(df)
+        return df
+
+    monkeypatch.setattr(Compiler, "rule", kept)
+    db = Database(spark).add_rows("node", [(k,) for k in range(1, 128)])
+    text = "class Node extends int { Node() { node(this) } Node getParent() { result = this / 2 } } from Node n where n.getParent+() = 7 select n as k"
+    assert rows(query_ql(db, text)) == [(k,) for k in range(14, 128) if (k >> k.bit_length() - 3) == 7]
+    assert sum(df.count() for df in derived) == len(closure_of(TREE)) - len(TREE)
+
+
 def test_rounds_have_tasks_by_their_rows(spark, monkeypatch):
     """Many rows make more partitions, while the round runs only."""
     monkeypatch.setattr(engine_module, "TASK_ROWS", 50)
